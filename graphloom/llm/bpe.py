@@ -43,6 +43,17 @@ def agrees(left: bytes, right: bytes) -> bool:
     return len(right) > 1 and left[-1] < 0x80 and left[-1] not in WHITE and right[0] == 0x20 and right[1:2].isalnum()
 
 
+def token_bytes(tokenizer: Tokenizer) -> list[bytes]:
+    """Bytes that each id stands for: a byte-level token spells byte values with printable characters, an added one itself."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    alphabet = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted({*range(0x100)} - {*plain}))}
+    added = tokenizer.get_added_tokens_decoder()
+    out = [b""] * (1 + max(tokenizer.get_vocab().values()))
+    for token, i in tokenizer.get_vocab().items():
+        out[i] = token.encode() if i in added else bytes(map(alphabet.__getitem__, token))
+    return out
+
+
 class ChunkCoder:
     """Encodes and decodes whole texts; each chunk once while it is cached."""
 
@@ -52,6 +63,8 @@ class ChunkCoder:
         self.tokenizer.no_padding()
         self.cache: OrderedDict[bytes, tuple[int, bytes, bytes]] = OrderedDict()
         self.held = 0
+        self.spelled = token_bytes(self.tokenizer)
+        self.digits = [b"%d" % i for i in range(len(self.spelled))]
 
     def chunks(self, text: str) -> list[bytes]:
         """Pieces of the text; a join that doesn't agree is repaired by taking both sides as one."""
@@ -72,8 +85,10 @@ class ChunkCoder:
             else:
                 new.append(p)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-        for p, i, d in zip(new, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True):
-            found[p] = self.cache[p] = (len(i), ",".join(map(str, i)).encode(), d.encode())
+        for p, i in zip(new, ids, strict=True):
+            d = b"".join(map(self.spelled.__getitem__, i))
+            d = p if d == p else d.decode("utf-8", "replace").encode()
+            found[p] = self.cache[p] = (len(i), b",".join(map(self.digits.__getitem__, i)), d)
             self.held += 4 * len(p) + 300
         while self.held > CACHE_BYTES and self.cache:
             self.held -= 4 * len(self.cache.popitem(last=False)[0]) + 300
