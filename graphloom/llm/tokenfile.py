@@ -17,7 +17,8 @@ from .common import scratch, table
 
 BLOCK_IDS = 1 << 20  # a block of the file is closed at so many ids
 SAMPLE = 256  # select: one stored position for so many ones
-MEMO = 1 << 18  # words that an encoder keeps
+MEMO = 1 << 19  # words that an encoder keeps
+MARK, TOGETHER = "\x01", 64  # new words are encoded so many at once, with a mark of one id between two
 FILE = "shard int, block int, at long, n_ids long, n_docs long, doc_ids binary, ids binary, low_bits int, low binary, high binary, picks binary"
 
 
@@ -70,17 +71,35 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [[] if t is None else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for s in split for w in s if w not in self.memo})
+        new = set().union(*split).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo = {}
-            new = list({w for s in split for w in s})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+            new = set().union(*split)
+        self.learn(list(new))
         return [b"".join(map(self.memo.__getitem__, s)) for s in split]
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of new words. A group whose ids don't split at the marks, one for each, is encoded word by word."""
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        alone = []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = [] if self.mark is None else np.flatnonzero(ids == self.mark).tolist()
+            if len(at) != len(g) - 1 or any(MARK in w for w in g):
+                alone += g
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(g, [*at, len(ids)], strict=True):
+                self.memo[w] = raw[4 * start : 4 * end]
+                start = end + 1
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
