@@ -74,7 +74,7 @@ def _sparse_anchors(docs: DataFrame, window: int, part: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, part: int) -> DataFrame:
-    """(h1, h2, doc_id, start) of the windows whose anchor is in `repeated`."""
+    """(h1, h2, doc_id, start, seen) of the windows whose anchor is in `repeated`; seen: the document has the window before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -86,15 +86,17 @@ def _windows(docs: DataFrame, window: int, part: int) -> DataFrame:
                     at = np.flatnonzero(np.isin(a.view(np.int64), np.asarray(rep, dtype=np.int64)))
                     if len(at):
                         one, two = rolled(h, window, 0x2545F4914F6CDD1D)[at], rolled(h * _MIX ^ (h >> np.uint64(31)), window, 0x94D049BB133111EB)[at]
-                        out.append(pd.DataFrame({"h1": one.view(np.int64), "h2": two.view(np.int64), "doc_id": key, "start": at.astype(np.int32)}))
+                        seen = np.ones(len(at), dtype=bool)
+                        seen[np.unique(one + two * _MIX, return_index=True)[1]] = False
+                        out.append(pd.DataFrame({"h1": one.view(np.int64), "h2": two.view(np.int64), "doc_id": key, "start": at.astype(np.int32), "seen": seen}))
                 if out:
                     yield pd.concat(out)
 
-    return docs.mapInPandas(run, "h1 long, h2 long, doc_id long, start int")
+    return docs.mapInPandas(run, "h1 long, h2 long, doc_id long, start int, seen boolean")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs under a folder, each with the first place of its windows' fingerprints.
+    """Sorted immutable runs under a folder, each with the first document of its windows' fingerprints.
 
     A fingerprint is two independent 64-bit hashes; the second verifies what the first finds. A batch
     is merge-joined with all runs, and its own windows become a new run. compact() merges the runs.
@@ -104,7 +106,7 @@ class FingerprintIndex:
         self.spark, self.window, self.part, self.runs = spark, window, part, []
 
     def history(self) -> DataFrame | None:
-        """Every run's (h1, h2, doc_id, start)."""
+        """Every run's (h1, h2, doc_id)."""
         return self.spark.read.parquet(*self.runs) if self.runs else None
 
     def append(self, firsts: DataFrame) -> None:
@@ -113,11 +115,11 @@ class FingerprintIndex:
         self.runs.append(path)
 
     def compact(self) -> None:
-        """All runs as one, with the earliest place of each fingerprint."""
+        """All runs as one, with the earliest document of each fingerprint."""
         if len(self.runs) > 1:
-            merged = self.history().groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("p"))
+            merged = self.history().groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
             self.runs, old = [], self.runs
-            self.append(merged.select("h1", "h2", "p.doc_id", "p.start"))
+            self.append(merged)
             del old
 
     def repeats(self, batch: DataFrame, keep_all: bool = True) -> DataFrame:
@@ -129,22 +131,21 @@ class FingerprintIndex:
         """
         docs = batch.select("doc_id", "text")
         old = self.history()
-        some = _sparse_anchors(docs, self.window, self.part)
-        if keep_all or old is not None:
-            rep = some.groupBy("doc_id").agg(F.collect_list("a").alias("repeated"))
-        else:
+        some = stored(_sparse_anchors(docs, self.window, self.part), "anchors")
+        if not (keep_all or old is not None):
             twice = some.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-            rep = some.join(stored(twice, "anchors"), "a").groupBy("doc_id").agg(F.collect_list("a").alias("repeated"))
-        win = _windows(docs.join(rep, "doc_id"), self.window, self.part)
-        least = F.min(F.struct("doc_id", "start")).alias("p")
-        firsts = win.groupBy("h1", "h2").agg(least, F.count("*").alias("n"))
-        firsts = firsts if keep_all else firsts.where("n > 1")
-        self.append(firsts.select("h1", "h2", "p.doc_id", "p.start"))
+            some = some.join(twice, "a")
+        rep = some.groupBy("doc_id").agg(F.collect_set("a").alias("repeated"))
+        # the texts are shuffled and hashed once; both sides of the merge read the windows' rows
+        win = stored(_windows(docs.join(rep, "doc_id"), self.window, self.part), "windows")
+        own = win.where("not seen")
+        firsts = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+        self.append((firsts if keep_all else firsts.where("n > 1")).drop("n"))
         low = self.history()
         if old is not None:
-            low = low.groupBy("h1", "h2").agg(least).select("h1", "h2", "p.*")
-        low = low.toDF("h1", "h2", "d0", "s0")
-        again = win.join(low, ["h1", "h2"]).where((F.col("doc_id") != F.col("d0")) | (F.col("start") != F.col("s0")))
+            low = low.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+        later = own.join(low.withColumnRenamed("doc_id", "d0"), ["h1", "h2"]).where("doc_id <> d0")
+        again = later.select("doc_id", "start").union(win.where("seen").select("doc_id", "start"))
         return again.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
 
 
