@@ -68,21 +68,23 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def models(summed: DataFrame) -> dict[str, np.ndarray]:
     """Dense tables of fixed size (PAIRS and VOCAB slots, whatever the input) for both models."""
-    got = summed.toPandas()
-    out = {}
-    for kind, size in (("pair", PAIRS), ("word", VOCAB)):
-        own = got[got["kind"] == kind]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind, own in b.groupby("kind"):
+                yield pd.DataFrame({"kind": [kind], "slot": [own["slot"].to_numpy("<i4").tobytes()], "background": [own["background"].to_numpy("<i8").tobytes()], "target": [own["target"].to_numpy("<i8").tobytes()]})
+
+    out = {(kind, side): np.zeros(size, dtype=np.float32) for kind, size in (("pair", PAIRS), ("word", VOCAB)) for side in ("background", "target")}
+    for r in summed.mapInPandas(pack, "kind string, slot binary, background binary, target binary").collect():  # 20 bytes a slot
         for side in ("background", "target"):
-            x = np.zeros(size, dtype=np.float64)
-            x[own["slot"].to_numpy()] = own[side].to_numpy()
-            out[kind, side] = x
+            out[r["kind"], side][np.frombuffer(r["slot"], "<i4")] = np.frombuffer(r[side], "<i8")
     return out
 
 
 def losses(x: np.ndarray, m: dict, side: str) -> np.ndarray:
     """Negative log probability of each token after the first, bigram backed off to a smoothed word model."""
     word, two = m["word", side], m["pair", side]
-    uni = (word[x[1:]] + FLOOR) / (word.sum() + FLOOR * VOCAB)
+    uni = (word[x[1:]] + FLOOR) / (word.sum(dtype=np.float64) + FLOOR * VOCAB)
     before = word[x[:-1]]
     return -np.log((np.minimum(two[pair(x)], before) * (1 - DISCOUNT) + DISCOUNT * before * uni + uni) / (before + 1))
 
@@ -96,7 +98,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     own = target.select("doc_id").distinct().withColumn("target", F.lit(True))
     docs = docs.select("doc_id", "text")
     m = models(counts(docs.join(own, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))))
-    held = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in m.items()})
+    held = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
