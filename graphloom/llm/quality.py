@@ -59,7 +59,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> tuple[np.ndarray,
     docs = []
     for t in texts:
         ids, n = np.unique(features(t), return_counts=True)
-        docs.append((ids, n / max(n.sum(), 1)))
+        docs.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))  # the driver holds the whole sample's
     y = np.array(labels)
     if len(y):
         bias = np.log(np.array([(y == 0).sum(), (y == 1).sum()]) + 1.0)
