@@ -1,4 +1,4 @@
-"""Cross-entropy difference: target and background bigram models over one vocabulary."""
+"""Cross-entropy difference: target and background bigram models over one vocabulary, from exact counts."""
 
 from __future__ import annotations
 
@@ -7,109 +7,155 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-VOCAB = 1 << 16  # hashed words; 0 is the start of a text
-PAIRS = 1 << 20  # hashed bigrams
+START = 1  # the word before a text's first
 DISCOUNT, FLOOR = 0.4, 0.5
 WORD_MEMO = 1 << 18
-FLUSH = 1 << 22  # tokens after which a task hands its counts on
-_IDS: dict[bytes, int] = {}
+BLOCK = 1 << 20  # tokens after which a task closes a block of texts
+PART = 1 << 24  # bytes of text for each part of the key space
+_KEYS: dict[bytes, int] = {}
 
 
-def ids(text: str | None) -> np.ndarray:
-    if len(_IDS) > WORD_MEMO:
-        _IDS.clear()
-    out = [0]
+def keys(text: str | None) -> list[int]:
+    """64-bit key of each word, odd, after START."""
+    if len(_KEYS) > WORD_MEMO:
+        _KEYS.clear()
+    out = [START]
     for w in [] if text is None else text.encode("utf-8", "replace").split():
-        i = _IDS.get(w)
-        if i is None:
-            i = _IDS[w] = 1 + xxhash.xxh3_64_intdigest(w, 3) % (VOCAB - 1)
-        out.append(i)
-    return np.array(out, dtype=np.int64)
+        k = _KEYS.get(w)
+        if k is None:
+            k = _KEYS[w] = xxhash.xxh3_64_intdigest(w, 3) | 1
+        out.append(k)
+    return out
 
 
-def pair(x: np.ndarray) -> np.ndarray:
-    """Bucket of each bigram."""
-    h = x[:-1].astype(np.uint64) * np.uint64(VOCAB) + x[1:].astype(np.uint64)
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit key of each bigram, even."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for m in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(m)
+    return (h ^ (h >> np.uint64(32))) & ~np.uint64(1)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(kind, slot, background, target): word and bigram counts over every text, summed within tasks first."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """Texts of about BLOCK tokens a row: ids, lengths and target marks of the texts, distinct words and each token's place among them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [[], []], 0
+        task, ids, marks, held, n, at = TaskContext.get().partitionId(), [], [], [], 0, 0
 
-        def out():
-            for kind, size in (("pair", PAIRS), ("word", VOCAB)):
-                c = [np.bincount(np.concatenate([pair(x) if kind == "pair" else x for x in side] or [np.zeros(0, np.int64)]), minlength=size) for side in held]
-                at = np.flatnonzero(c[0] + c[1])
-                yield pd.DataFrame({"kind": kind, "slot": at.astype(np.int32), "background": c[0][at], "target": c[1][at]})
+        def out() -> pd.DataFrame:
+            word, token = np.unique(np.concatenate(held), return_inverse=True)
+            size = np.array([len(x) for x in held], "<i8")
+            return pd.DataFrame({"block": [task << 32 | at], "ids": [ids], "sizes": [size.tobytes()], "marks": [np.array(marks, "u1").tobytes()], "words": [word.astype("<u8").tobytes()], "tokens": [token.astype("<i4").tobytes()]})
 
         for b in batches:
-            for t, good in zip(b["text"], b["target"], strict=True):
-                x = ids(t)
-                held[0].append(x)
-                if good:
-                    held[1].append(x)
-                n += len(x)
-                if n >= FLUSH:
-                    yield from out()
-                    held, n = [[], []], 0
-        yield from out()
-
-    part = docs.select("text", "target").mapInPandas(run, "kind string, slot int, background long, target long")
-    return part.groupBy("kind", "slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def models(summed: DataFrame) -> dict[str, np.ndarray]:
-    """Dense tables of fixed size (PAIRS and VOCAB slots, whatever the input) for both models."""
+            for key, t, good in zip(b["doc_id"], b["text"], b["target"], strict=True):
+                held.append(np.array(keys(t), dtype=np.uint64))
+                ids.append(key)
+                marks.append(good)
+                n += len(held[-1])
+                if n >= BLOCK:
+                    yield out()
+                    ids, marks, held, n, at = [], [], [], 0, at + 1
+        if held:
+            yield out()
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "target").mapInPandas(run, "block long, ids array<string>, sizes binary, marks binary, words binary, tokens binary")
+
+
+class Block:
+    """A block's distinct keys: words first, then bigrams; `order` sorts them."""
+
+    def __init__(self, r) -> None:
+        self.size, self.mark = np.frombuffer(r.sizes, "<i8"), np.frombuffer(r.marks, "u1")
+        self.word, self.token = np.frombuffer(r.words, "<u8"), np.frombuffer(r.tokens, "<i4")
+        self.text = np.repeat(np.arange(len(self.size)), self.size)
+        self.at = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1  # tokens after the first of their text
+        x = self.word[self.token]
+        two, self.first, self.pair = np.unique(pair(x[self.at - 1], x[self.at]), return_index=True, return_inverse=True)
+        self.key = np.concatenate([self.word, two])
+        self.order = np.argsort(self.key)
+
+    def edges(self, parts: int) -> list[int]:
+        """Where the sorted keys of each part begin and end."""
+        inner = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+        return [0, *np.searchsorted(self.key[self.order], inner).tolist(), len(self.key)]
+
+
+def counts(held: DataFrame, parts: int) -> DataFrame:
+    """(block, part, background, target, v, n_background, n_target): for each block and part the corpus counts of its keys, in their order.
+
+    v, n_background and n_target, in one row of each part, count the part's different words and their tokens.
+    """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for kind, own in b.groupby("kind"):
-                yield pd.DataFrame({"kind": [kind], "slot": [own["slot"].to_numpy("<i4").tobytes()], "background": [own["background"].to_numpy("<i8").tobytes()], "target": [own["target"].to_numpy("<i8").tobytes()]})
-
-    out = {(kind, side): np.zeros(size, dtype=np.float32) for kind, size in (("pair", PAIRS), ("word", VOCAB)) for side in ("background", "target")}
-    for r in summed.mapInPandas(pack, "kind string, slot binary, background binary, target binary").collect():  # 20 bytes a slot
+            for r in b.itertuples():
+                own = Block(r)
+                count = []
+                for weight in (None, own.mark[own.text]):
+                    word = np.bincount(own.token, weight, len(own.word))
+                    two = np.bincount(own.pair, None if weight is None else weight[own.at], len(own.key) - len(own.word))
+                    count.append(np.concatenate([word, two])[own.order].astype("<u4"))
+                key, edge = own.key[own.order], own.edges(parts)
+                rows = [(r.block, i, key[a:z].tobytes(), count[0][a:z].tobytes(), count[1][a:z].tobytes()) for i, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
+                yield pd.DataFrame(rows, columns=["block", "part", "keys", "background", "target"])
+
+    def total(b: pd.DataFrame) -> pd.DataFrame:
+        key, of = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in b["keys"]]), return_inverse=True)
+        size, word = [len(x) // 8 for x in b["keys"]], key & np.uint64(1) == 1
+        out = pd.DataFrame({"block": b["block"], "part": b["part"]})
         for side in ("background", "target"):
-            out[r["kind"], side][np.frombuffer(r["slot"], "<i4")] = np.frombuffer(r[side], "<i8")
-    return out
+            n = np.bincount(of, np.concatenate([np.frombuffer(x, "<u4") for x in b[side]]), len(key)).astype("<i8")
+            out[side] = [x.tobytes() for x in np.split(n[of], np.cumsum(size)[:-1])]
+            out[f"n_{side}"] = [int(n[word].sum())] + [0] * (len(b) - 1)
+        return out.assign(v=[int(word.sum())] + [0] * (len(b) - 1))
+
+    sent = held.mapInPandas(send, "block long, part int, keys binary, background binary, target binary")
+    return sent.groupBy("part").applyInPandas(total, "block long, part int, background binary, target binary, v long, n_background long, n_target long")
 
 
-def losses(x: np.ndarray, m: dict, side: str) -> np.ndarray:
-    """Negative log probability of each token after the first, bigram backed off to a smoothed word model."""
-    word, two = m["word", side], m["pair", side]
-    uni = (word[x[1:]] + FLOOR) / (word.sum(dtype=np.float64) + FLOOR * VOCAB)
-    before = word[x[:-1]]
-    return -np.log((np.minimum(two[pair(x)], before) * (1 - DISCOUNT) + DISCOUNT * before * uni + uni) / (before + 1))
+def losses(own: Block, n: np.ndarray, total: int, v: int) -> np.ndarray:
+    """Negative log probability of each distinct bigram, backed off to a smoothed word model; n: corpus counts of the block's keys."""
+    word, two = n[: len(own.word)], n[len(own.word) :]
+    at = own.at[own.first]
+    uni, before = (word[own.token[at]] + FLOOR) / (total + FLOOR * v), word[own.token[at - 1]]
+    return -np.log((two * (1 - DISCOUNT) + DISCOUNT * before * uni + uni) / (before + 1))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (target less background, per token) for each row.
 
     target: doc_id of texts of the wanted kind; the background is every text. Lower is nearer the target.
-    Texts without words have losses and score 0.
+    Texts without words have losses and score 0. Counts are exact but for words or bigrams whose 64-bit hashes
+    agree. Each block of texts sends its distinct keys to their parts of the key space and gets the corpus
+    counts back; the number of parts grows with the texts, and no table is gathered whole.
     """
     own = target.select("doc_id").distinct().withColumn("target", F.lit(True))
     docs = docs.select("doc_id", "text")
-    m = models(counts(docs.join(own, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))))
-    held = docs.sparkSession.sparkContext.broadcast(m)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, t in zip(b["doc_id"], b["text"], strict=True):
-                x = ids(t)
-                a, c = (float(losses(x, held.value, s).mean()) if len(x) > 1 else 0.0 for s in ("target", "background"))
-                rows.append((key, len(x) - 1, a, c, a - c))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
+    held = stored(blocks(docs.join(own, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "lm-blocks")
+    found = stored(counts(held, parts), "lm-counts")
+    v, *totals = (x or 0 for x in found.agg(F.sum("v"), F.sum("n_target"), F.sum("n_background")).first())
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        r = next(left.itertuples())
+        own, right = Block(r), right.sort_values("part")
+        n = own.size - 1
+        mean = []
+        for side, total in zip(("target", "background"), totals, strict=True):
+            count = np.empty(len(own.key))
+            count[own.order] = np.concatenate([np.frombuffer(x, "<i8") for x in right[side]])
+            mean.append(np.bincount(own.text[own.at], losses(own, count, total, v)[own.pair], len(n)) / np.maximum(n, 1))
+        return pd.DataFrame({"doc_id": list(r.ids), "n_tokens": n, "target_loss": mean[0], "background_loss": mean[1], "score": mean[0] - mean[1]})
+
+    out = held.groupBy("block").cogroup(found.select("block", "part", "target", "background").groupBy("block")).applyInPandas(score, "doc_id string, n_tokens long, target_loss double, background_loss double, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
