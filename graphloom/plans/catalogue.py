@@ -112,10 +112,11 @@ def forward_prune(spark, sf_dir):
 
 SPARSE = "l_quantity = 50 and abs(l_discount - 0.1) < 1e-9"
 LINKED = f"with recursive e as (select distinct 2 * l_suppkey a, 2 * l_partkey + 1 b from lineitem where {SPARSE}), u as (select a, b from e union select b, a from e), r as (select a k, a c from u union select u.b, r.c from r join u on r.k = u.a) "
+LINKED_ALL = LINKED.replace(f" where {SPARSE}", "")
 
 
-def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where(SPARSE)
+def linked(spark: SparkSession, sf_dir: str, where: str = SPARSE) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").where(where)
     return fixpoint.components(e.select((2 * F.col("l_suppkey")).cast("long").alias("src"), (2 * F.col("l_partkey") + 1).cast("long").alias("dst")))
 
 
@@ -124,16 +125,45 @@ def components(spark, sf_dir):
     return linked(spark, sf_dir)
 
 
-@query(LINKED + ", m as (select k, min(c) component from r group by k) select cast(component as bigint) bucket, cast(coalesce(min(k) filter (where k <= 20), min(k)) as bigint) as primary_goff, bool_or(k <= 20) as prim from m group by component")
+@query(LINKED_ALL + "select cast(k as bigint) k, cast(min(c) as bigint) component from r group by k")
+def components_all(spark, sf_dir):
+    return linked(spark, sf_dir, "true")
+
+
+PRIMARY = ", m as (select k, min(c) component from r group by k) select cast(component as bigint) bucket, cast(coalesce(min(k) filter (where k <= 20), min(k)) as bigint) as primary_goff, bool_or(k <= 20) as prim from m group by component"
+
+
+@query(LINKED + PRIMARY)
 def bucket_primary(spark, sf_dir):
+    return primaries(linked(spark, sf_dir))
+
+
+@query(LINKED_ALL + PRIMARY)
+def bucket_primary_all(spark, sf_dir):
+    return primaries(linked(spark, sf_dir, "true"))
+
+
+def primaries(at: DataFrame) -> DataFrame:
     k = F.col("k")
-    return linked(spark, sf_dir).groupBy(F.col("component").alias("bucket")).agg(F.coalesce(F.min(F.when(k <= 20, k)), F.min(k)).alias("primary_goff"), F.max(k <= 20).alias("prim"))
+    return at.groupBy(F.col("component").alias("bucket")).agg(F.coalesce(F.min(F.when(k <= 20, k)), F.min(k)).alias("primary_goff"), F.max(k <= 20).alias("prim"))
+
 
+CLOSURE = "with recursive e as (select p_partkey a, p_partkey // 2 b from part where p_partkey < 200 union select p_partkey, p_partkey // 3 from part where p_partkey < 200), r as (select a k, b dep from e union select r.k, e.b from r join e on r.dep = e.a) select cast(k as bigint) k, cast(dep as bigint) dep from r"
 
-@query("with recursive e as (select p_partkey a, p_partkey // 2 b from part where p_partkey < 200 union select p_partkey, p_partkey // 3 from part where p_partkey < 200), r as (select a k, b dep from e union select r.k, e.b from r join e on r.dep = e.a) select cast(k as bigint) k, cast(dep as bigint) dep from r")
+
+@query(CLOSURE)
 def dep_closure(spark, sf_dir):
+    return closure(table(spark, sf_dir, "part").where("p_partkey < 200"))
+
+
+@query(CLOSURE.replace(" where p_partkey < 200", ""))
+def dep_closure_all(spark, sf_dir):
+    return closure(table(spark, sf_dir, "part"))
+
+
+def closure(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey").cast("long")
-    e = table(spark, sf_dir, "part").where("p_partkey < 200").select(k.alias("src"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("dst")).distinct()
+    e = part.select(k.alias("src"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("dst")).distinct()
     at = fixpoint.cut(e.select(F.col("src").alias("k"), F.col("dst").alias("dep")))
     while True:  # paths double in length each round
         new = fixpoint.cut(at.union(at.join(at.toDF("dep", "d2"), "dep").select("k", "d2")).distinct())
