@@ -1,10 +1,15 @@
-"""Shared pieces: tables, shared folders, ASCII words, connected components."""
+"""Shared pieces: tables, shared folders, ASCII words, packed arrays, connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named, as in tests."""
+    """The folder that driver and executors share; a local one only where none is named and all run on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="graphloom-")
         shared_dir.own = base
     return base
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new place in the shared folder; what is written there goes when the session's JVM ends, unless kept."""
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        fs, at = _place(spark, path)
+        fs.mkdirs(at.getParent())
+        fs.deleteOnExit(at)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    fs, at = _place(spark, path)
+    fs.delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,6 +70,64 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key=None, make: Callable | None = None):
+    """What a Python worker keeps from task to task, made anew if missing. Only one thing is kept: asking for another, or for none, frees it."""
+    if key not in _RESIDENT:
+        had = len(_RESIDENT)
+        _RESIDENT.clear()
+        if had:
+            pyarrow.default_memory_pool().release_unused()
+            if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+                c.malloc_trim(0)
+        if key is not None:
+            _RESIDENT[key] = make()
+    return _RESIDENT.get(key)
+
+
+class Hashes(dict):
+    """64-bit hash of each word met, as long as `most` bytes last; then it starts anew. It lives as long as its task."""
+
+    def __init__(self, of: Callable[[bytes], int], most: int = 24 << 20):
+        self.hash, self.most, self.held = of, most, 0
+        resident()
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.hash(word)
+        if len(word) < 256:
+            self.held += len(word) + 200
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = h
+        return h
+
+    def array(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """x as little-endian byte planes, compressed: what small numbers leave empty costs nothing."""
+    x = np.ascontiguousarray(x)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_rising(x: np.ndarray) -> bytes:
+    """A sorted array of uint64, as steps."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reachable.
 
