@@ -11,27 +11,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Hashes, pack, pack_rising, stored, table, unpack, unpack_rising
 
 START = 1  # the word before a text's first
 DISCOUNT, FLOOR = 0.4, 0.5
-WORD_MEMO = 1 << 18
-BLOCK = 1 << 20  # tokens after which a task closes a block of texts
-PART = 1 << 24  # bytes of text for each part of the key space
-_KEYS: dict[bytes, int] = {}
+BLOCK = 180_000  # tokens after which a task closes a block of texts; larger rows cost the JVM much memory
+PART = 1 << 23  # bytes of text for each part of the key space
+LISTED = 1 << 20  # so many target ids are broadcast at most; more are joined
 
 
-def keys(text: str | None) -> list[int]:
-    """64-bit key of each word, odd, after START."""
-    if len(_KEYS) > WORD_MEMO:
-        _KEYS.clear()
-    out = [START]
-    for w in [] if text is None else text.encode("utf-8", "replace").split():
-        k = _KEYS.get(w)
-        if k is None:
-            k = _KEYS[w] = xxhash.xxh3_64_intdigest(w, 3) | 1
-        out.append(k)
-    return out
+def key(word: bytes) -> int:
+    """64-bit key of a word, odd."""
+    return xxhash.xxh3_64_intdigest(word, 3) | 1
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,17 +37,18 @@ def blocks(docs: DataFrame) -> DataFrame:
     """Texts of about BLOCK tokens a row: ids, lengths and target marks of the texts, distinct words and each token's place among them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, ids, marks, held, n, at = TaskContext.get().partitionId(), [], [], [], 0, 0
+        task, ids, marks, held, n, at, known = TaskContext.get().partitionId(), [], [], [], 0, 0, Hashes(key)
 
         def out() -> pd.DataFrame:
             word, token = np.unique(np.concatenate(held), return_inverse=True)
             size = np.array([len(x) for x in held], "<i8")
-            return pd.DataFrame({"block": [task << 32 | at], "ids": [ids], "sizes": [size.tobytes()], "marks": [np.array(marks, "u1").tobytes()], "words": [word.astype("<u8").tobytes()], "tokens": [token.astype("<i4").tobytes()]})
+            return pd.DataFrame({"block": [task << 32 | at], "ids": [ids], "sizes": [pack(size)], "marks": [pack(np.array(marks, "u1"))], "words": [pack_rising(word)], "tokens": [pack(token.astype("<i4"))]})
 
         for b in batches:
-            for key, t, good in zip(b["doc_id"], b["text"], b["target"], strict=True):
-                held.append(np.array(keys(t), dtype=np.uint64))
-                ids.append(key)
+            for name, t, good in zip(b["doc_id"], b["text"], b["target"], strict=True):
+                w = [] if t is None else t.encode("utf-8", "replace").split()
+                held.append(np.concatenate([np.array([START], np.uint64), known.array(w)]))
+                ids.append(name)
                 marks.append(good)
                 n += len(held[-1])
                 if n >= BLOCK:
@@ -72,8 +64,8 @@ class Block:
     """A block's distinct keys: words first, then bigrams; `order` sorts them."""
 
     def __init__(self, r) -> None:
-        self.size, self.mark = np.frombuffer(r.sizes, "<i8"), np.frombuffer(r.marks, "u1")
-        self.word, self.token = np.frombuffer(r.words, "<u8"), np.frombuffer(r.tokens, "<i4")
+        self.size, self.mark = unpack(r.sizes, "<i8"), unpack(r.marks, "u1")
+        self.word, self.token = unpack_rising(r.words), unpack(r.tokens, "<i4")
         self.text = np.repeat(np.arange(len(self.size)), self.size)
         self.at = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1  # tokens after the first of their text
         x = self.word[self.token]
@@ -103,16 +95,18 @@ def counts(held: DataFrame, parts: int) -> DataFrame:
                     two = np.bincount(own.pair, None if weight is None else weight[own.at], len(own.key) - len(own.word))
                     count.append(np.concatenate([word, two])[own.order].astype("<u4"))
                 key, edge = own.key[own.order], own.edges(parts)
-                rows = [(r.block, i, key[a:z].tobytes(), count[0][a:z].tobytes(), count[1][a:z].tobytes()) for i, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
+                rows = [(r.block, i, pack_rising(key[a:z]), pack(count[0][a:z]), pack(count[1][a:z])) for i, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
                 yield pd.DataFrame(rows, columns=["block", "part", "keys", "background", "target"])
 
     def total(b: pd.DataFrame) -> pd.DataFrame:
-        key, of = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in b["keys"]]), return_inverse=True)
-        size, word = [len(x) // 8 for x in b["keys"]], key & np.uint64(1) == 1
+        each = [unpack_rising(x) for x in b["keys"]]
+        size = [len(x) for x in each]
+        key, of = np.unique(np.concatenate(each), return_inverse=True)
+        word = key & np.uint64(1) == 1
         out = pd.DataFrame({"block": b["block"], "part": b["part"]})
         for side in ("background", "target"):
-            n = np.bincount(of, np.concatenate([np.frombuffer(x, "<u4") for x in b[side]]), len(key)).astype("<i8")
-            out[side] = [x.tobytes() for x in np.split(n[of], np.cumsum(size)[:-1])]
+            n = np.bincount(of, np.concatenate([unpack(x, "<u4") for x in b[side]]), len(key)).astype("<i8")
+            out[side] = [pack(x) for x in np.split(n[of], np.cumsum(size)[:-1])]
             out[f"n_{side}"] = [int(n[word].sum())] + [0] * (len(b) - 1)
         return out.assign(v=[int(word.sum())] + [0] * (len(b) - 1))
 
@@ -120,7 +114,7 @@ def counts(held: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInPandas(total, "block long, part int, background binary, target binary, v long, n_background long, n_target long")
 
 
-def losses(own: Block, n: np.ndarray, total: int, v: int) -> np.ndarray:
+def losses(own: Block, n: np.ndarray, total: float, v: int) -> np.ndarray:
     """Negative log probability of each distinct bigram, backed off to a smoothed word model; n: corpus counts of the block's keys."""
     word, two = n[: len(own.word)], n[len(own.word) :]
     at = own.at[own.first]
@@ -131,27 +125,33 @@ def losses(own: Block, n: np.ndarray, total: int, v: int) -> np.ndarray:
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (target less background, per token) for each row.
 
-    target: doc_id of texts of the wanted kind; the background is every text. Lower is nearer the target.
-    Texts without words have losses and score 0. Counts are exact but for words or bigrams whose 64-bit hashes
-    agree. Each block of texts sends its distinct keys to their parts of the key space and gets the corpus
-    counts back; the number of parts grows with the texts, and no table is gathered whole.
+    target: doc_id of texts of the wanted kind; the background is every text. Lower is nearer the target. The
+    models share one vocabulary and are matched in size: target counts are weighted so that both hold as many
+    tokens, else smoothing alone would set them apart. Without target texts that model is uniform.
+    Null, empty and white texts have losses and score 0. Rows that repeat count as often as they occur and each
+    get a row; a null doc_id is never a target. Other columns are ignored; an empty table gives no rows.
+    Counts are exact but for words or bigrams whose 64-bit hashes agree. Each block of texts sends its distinct
+    keys to their parts of the key space and gets the corpus counts back; the number of parts grows with the
+    texts, and no table is gathered whole.
     """
-    own = target.select("doc_id").distinct().withColumn("target", F.lit(True))
+    own = target.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    if own.count() <= LISTED:
+        own = F.broadcast(own)
     docs = docs.select("doc_id", "text")
     parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
     held = stored(blocks(docs.join(own, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "lm-blocks")
     found = stored(counts(held, parts), "lm-counts")
-    v, *totals = (x or 0 for x in found.agg(F.sum("v"), F.sum("n_target"), F.sum("n_background")).first())
+    v, few, all_ = (x or 0 for x in found.agg(F.sum("v"), F.sum("n_target"), F.sum("n_background")).first())
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = next(left.itertuples())
         own, right = Block(r), right.sort_values("part")
         n = own.size - 1
         mean = []
-        for side, total in zip(("target", "background"), totals, strict=True):
+        for side, weight in (("target", all_ / few if few else 0.0), ("background", 1.0)):
             count = np.empty(len(own.key))
-            count[own.order] = np.concatenate([np.frombuffer(x, "<i8") for x in right[side]])
-            mean.append(np.bincount(own.text[own.at], losses(own, count, total, v)[own.pair], len(n)) / np.maximum(n, 1))
+            count[own.order] = np.concatenate([unpack(x, "<i8") for x in right[side]])
+            mean.append(np.bincount(own.text[own.at], losses(own, count * weight, all_ if weight else 0, v)[own.pair], len(n)) / np.maximum(n, 1))
         return pd.DataFrame({"doc_id": list(r.ids), "n_tokens": n, "target_loss": mean[0], "background_loss": mean[1], "score": mean[0] - mean[1]})
 
     out = held.groupBy("block").cogroup(found.select("block", "part", "target", "background").groupBy("block")).applyInPandas(score, "doc_id string, n_tokens long, target_loss double, background_loss double, score double")
@@ -159,5 +159,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, both losses and score of every document; the target is the texts labelled good and not toxic."""
     labels = table(spark, sf_dir, "labels")
     return cross_entropy_difference(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))

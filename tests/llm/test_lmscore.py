@@ -19,10 +19,12 @@ def brute(rows, wanted):
     for k, x in texts:
         mean = []
         for side in ("target", "background"):
-            w, total, out = word[side], sum(word[side].values()), 0.0
+            total, out = sum(word["background"].values()), 0.0
+            scale = total / sum(word[side].values())  # the models are matched in size
+            w = {k: n * scale for k, n in word[side].items()}
             for a, b in zip(x, x[1:]):
-                uni = (w[b] + lmscore.FLOOR) / (total + lmscore.FLOOR * v)
-                out -= math.log((two[side][a, b] * (1 - lmscore.DISCOUNT) + lmscore.DISCOUNT * w[a] * uni + uni) / (w[a] + 1))
+                uni = (w.get(b, 0) + lmscore.FLOOR) / (total + lmscore.FLOOR * v)
+                out -= math.log((two[side][a, b] * scale * (1 - lmscore.DISCOUNT) + lmscore.DISCOUNT * w.get(a, 0) * uni + uni) / (w.get(a, 0) + 1))
             mean.append(out / max(1, len(x) - 1))
         yield (-1 if k is None else k, len(x) - 1, *mean, mean[0] - mean[1])
 
