@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import resident, table
 
 WINDOW = 16  # bytes under the rolling hash
 MEAN_CHUNK = 64  # spaces between two cuts, on average
@@ -95,15 +95,6 @@ class ChunkCoder:
         return found
 
 
-_CODERS: dict[str, ChunkCoder] = {}
-
-
-def coder(path: str) -> ChunkCoder:
-    if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(path)
-    return _CODERS[path]
-
-
 def encode_decode(docs: DataFrame, path: str, keep_texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with keep_texts also ids and decoded.
 
@@ -112,7 +103,7 @@ def encode_decode(docs: DataFrame, path: str, keep_texts: bool = False) -> DataF
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(path)
+        c = resident(("bpe", path), lambda: ChunkCoder(path))
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]

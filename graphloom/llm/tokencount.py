@@ -10,7 +10,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import resident, table
 
 MEMO = 1 << 18  # words that a worker keeps
 BYTE_SCORE = -30.0  # of each byte of a character without a piece
@@ -67,19 +67,15 @@ class TrieCounter:
         return [(len(s), sum(map(self.memo.__getitem__, s))) for s in split]
 
 
-_COUNTERS: dict[str, TrieCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens for each row; null and empty texts have 0 of both. No shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = TrieCounter(path)
+        counter = resident(("count", path), lambda: TrieCounter(path))
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                got = _COUNTERS[path].counts(list(part["text"]))
+                got = counter.counts(list(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_words": [x[0] for x in got], "n_tokens": [x[1] for x in got]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
