@@ -10,35 +10,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Hashes, table
 
 BUCKETS = 1 << 17
 DIM = 16
-GRAMS = (3, 4, 5)  # bytes
+GRAMS = (3, 4, 5)  # characters
 SAMPLE = 3000  # labelled texts that the fit takes at most, by hash of doc_id
 SAMPLE_BYTES = 16 << 20  # and bytes of them
 EPOCHS, RATE, BATCH = 6, 0.6, 16
 THRESHOLD = 0.7
-WORD_MEMO = 1 << 17
-_WORDS: dict[bytes, int] = {}
 
 
-def features(text: str | None) -> np.ndarray:
-    """Bucket of every byte n-gram and word of the whole text; none for null and white space."""
-    data = b"" if text is None else text.encode("utf-8", "replace")
-    w = data.split()
+def word_bucket(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), 1) % BUCKETS
+
+
+def features(text: str | None, known: Hashes) -> np.ndarray:
+    """Bucket of every character n-gram and word of the whole text; none for null and white space."""
+    w = [] if text is None else text.split()
     if not w:
         return np.zeros(0, dtype=np.int64)
-    if len(_WORDS) > WORD_MEMO:
-        _WORDS.clear()
-    ids = []
-    for x in w:
-        h = _WORDS.get(x)
-        if h is None:
-            h = _WORDS[x] = xxhash.xxh3_64_intdigest(x, 1) % BUCKETS
-        ids.append(h)
-    raw = np.frombuffer(b" " + b" ".join(w) + b" ", dtype=np.uint8).astype(np.uint32)
-    out, h = [np.array(ids, dtype=np.int64)], np.zeros(len(raw), dtype=np.uint32)
+    raw = np.frombuffer(f" {' '.join(w)} ".encode("utf-32-le", "replace"), dtype="<u4")
+    out, h = [known.array(w).astype(np.int64)], np.zeros(len(raw), dtype=np.uint32)
     for n in range(1, max(GRAMS) + 1):
         if len(raw) < n:
             break
@@ -56,9 +49,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> tuple[np.ndarray,
     """
     rng = np.random.default_rng(seed)
     vec, out, bias = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2)
-    docs = []
+    docs, known = [], Hashes(word_bucket)
     for t in texts:
-        ids, n = np.unique(features(t), return_counts=True)
+        ids, n = np.unique(features(t, known), return_counts=True)
         docs.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))  # the driver holds the whole sample's
     y = np.array(labels)
     if len(y):
@@ -92,13 +85,17 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fits on labelled rows of the folds that aren't held out, SAMPLE texts or SAMPLE_BYTES at most."""
+    """Fits on labelled rows of the folds that aren't held out, SAMPLE texts or SAMPLE_BYTES at most, by hash of doc_id.
+
+    Of clashing labels of a doc_id the larger counts, of its texts the least. Null texts and labels other than
+    0 and 1 are left out. Without any labelled text every score is 0.5.
+    """
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    running = rows.select("doc_id", F.octet_length("text").alias("b")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    ordered = rows.select("doc_id", F.octet_length("text").alias("b")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # SAMPLE rows at most
     kept, used = [], 0
-    for r in running:
+    for r in ordered:
         if used + r["b"] <= SAMPLE_BYTES:
             kept.append(r["doc_id"])
             used += r["b"]
@@ -112,9 +109,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
     @F.pandas_udf("double")
     def p(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = weights.value
+        w, known = weights.value, Hashes(word_bucket)
         for s in texts:
-            z = np.array([w[f].mean(dtype=np.float64) if len(f := features(t)) else 0.0 for t in s]) + bias
+            z = np.array([w[f].mean(dtype=np.float64) if len(f := features(t, known)) else 0.0 for t in s]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     out = docs.withColumn("score", p("text"))
@@ -122,6 +119,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; null and empty texts have the bias's score, rows without doc_id aren't held out, repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
