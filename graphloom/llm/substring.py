@@ -196,16 +196,18 @@ class FingerprintIndex:
             drop(self.spark, f"{self.path}/{name}")
 
     def blocks(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, key, text, b): the rows in blocks b by ranges of doc_id, bucketed by block, so that later passes need no shuffle of texts.
+        """(doc_id, key, text, carry, b): the rows in blocks b by ranges of doc_id, bucketed by block, so that later passes need no shuffle of texts.
 
-        key orders the rows of a block; rows without doc_id come before all others.
+        key orders the rows of a block; rows without doc_id come before all others. carry: the other columns as JSON, where there are any.
         """
-        spark, docs = self.spark, docs.select("doc_id", "text")
+        spark, more = self.spark, [c for c in docs.columns if c not in ("doc_id", "text")]
+        carry = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(more)])) if more else F.lit(None).cast("string")
+        docs = docs.select("doc_id", "text", carry.alias("carry"))
         self.size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = 1 + self.size // BLOCK
         files = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 8)))
         rows = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).withColumn("b", F.spark_partition_id())
-        rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text", "b")
+        rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text", "carry", "b")
         name = f"graphloom_{uuid.uuid4().hex}"
         rows.write.bucketBy(files, "b").option("compression", "zstd").option("path", scratch(spark, "blocks")).saveAsTable(name)
         return spark.table(name)
@@ -275,12 +277,13 @@ class FingerprintIndex:
         return got.where("kind = 1").drop("h1", "h2")
 
     def kept(self, texts: DataFrame, replies: DataFrame, every: bool, what: str) -> DataFrame:
-        """For each row what is left of it: "digest", "text" (also the text), or "starts" of the windows that go, with the row's turn among those of one doc_id."""
+        """For each row what is left of it: "digest", "text" (also the text, and carry), or "starts" of the windows that go, with the row's turn among those of one doc_id."""
         window, part = self.window, self.part
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             own = Block(left, Hashes(word_hash), window, part) if len(left) else None
             ids, out, turn = left["doc_id"].tolist(), [], {}
+            carry = left["carry"].tolist()
             gone, starts = np.zeros(len(own.h) + 1 if own else 1, dtype=np.int64), np.zeros(0, np.int64)
             if own and len(some := wanted(own, right, every)):
                 _, _, of, head = own.windows(some)
@@ -302,10 +305,10 @@ class FingerprintIndex:
                 kept = b" ".join(w)
                 row = (ids[i], n, n - len(w), hashlib.sha256(kept).hexdigest())
                 # a text that loses nothing stays as it was
-                out.append((*row, own.texts[k] if n == len(w) else kept.decode("utf-8", "replace")) if what == "text" else row)
+                out.append((*row, own.texts[k] if n == len(w) else kept.decode("utf-8", "replace"), carry[i]) if what == "text" else row)
             return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-        schema = "doc_id string, turn int, starts array<long>" if what == "starts" else "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", kept string" * (what == "text")
+        schema = "doc_id string, turn int, starts array<long>" if what == "starts" else "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", kept string, carry string" * (what == "text")
         out = texts.groupBy("b").cogroup(replies.groupBy("b")).applyInPandas(run, schema)
         return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -350,16 +353,17 @@ def remove(docs: DataFrame, repeats: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (with keep_text also kept) for each row: each word covered by a window of 20 words that also starts earlier goes.
+    """doc_id, n_words, n_removed, kept_sha256 (with keep_text also kept, and the other columns) for each row: each word covered by a window of 20 words that also starts earlier goes.
 
     Earlier is a smaller doc_id, or the same row and an earlier start; rows without doc_id come before all others,
     and rows of one doc_id count in the order of their texts. Windows are judged on the texts as given. Null,
     empty and short texts have no window and lose nothing; a null text has no words. Extra columns are ignored;
-    an empty table gives no rows. Ranges of doc_id go through an index of their own one after another; since no
+    an empty table gives no rows. Columns of docs must not bear the names of the result's. Ranges of doc_id go through an index of their own one after another; since no
     other batch follows, it holds only windows whose anchor repeats in the table.
     """
+    more = [f for f in docs.schema if f.name not in ("doc_id", "text")] if keep_text else []
     index = FingerprintIndex(docs.sparkSession)
-    texts = index.blocks(docs)
+    texts = index.blocks(docs if keep_text else docs.select("doc_id", "text"))
     replies = anchors = index.repeated_anchors(texts)
     n = 1 + (texts.agg(F.max("b")).first()[0] or 0)
     inner = sorted({n * i // BATCHES for i in range(1, BATCHES)} - {0})
@@ -367,7 +371,12 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         some = F.col("b").between(lo, hi - 1)
         replies = replies.union(index.merge(texts.where(some), anchors.where(some)))
     index.compact()
-    return index.kept(texts, replies, False, "text" if keep_text else "digest")
+    out = index.kept(texts, replies, False, "text" if keep_text else "digest")
+    if not more:
+        return out.drop("carry")
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(more))
+    at = out.withColumn("carry", F.from_json("carry", kinds))
+    return at.select(*out.drop("carry").columns, *[F.col(f"carry.c{i}").alias(f.name) for i, f in enumerate(more)])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
