@@ -11,33 +11,34 @@ from graphloom.llm.common import stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; its labels are those of the documents given."""
+    """Documents that the classifier doesn't reject; it is fitted on the labelled ones among them. Empty texts have the bias's score. Repeated rows stay rows."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each SimHash group."""
-    groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The document of the smallest doc_id of each SimHash group. Rows of that doc_id all stay, and so do rows without doc_id."""
+    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 20 words and more that also start earlier; emptied documents go."""
-    left = substring.dedup(docs, keep_text=True).select("doc_id", "n_removed", "kept")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = docs.join(left, "doc_id").where((F.col("n_removed") == 0) | (F.col("kept") != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(docs.columns)
+    """Texts without the passages of 20 words and more that also start earlier; emptied documents go. One row a row, whatever its doc_id."""
+    left = substring.dedup(docs, keep_text=True).where("n_removed = 0 or kept <> ''").withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without doc_id stay."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text left."""
+    """Number and digests of the ids of every text left, and of the text decoded from them; see bpe.encode_decode() for nulls."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
