@@ -1 +1 @@
-"""Typed-graph and relational analytics on Spark."""
+"""Operators over debug entries, types, symbols and names."""

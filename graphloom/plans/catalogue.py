@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, trees
+from ..operators import rows
 from ..sources.tables import symbols, table
 from . import fixpoint
 
@@ -110,14 +111,12 @@ def forward_prune(spark, sf_dir):
     return fixpoint.reach(s.select("src", "dst").union(n), s.where("s_suppkey % 2 = 0").select(F.col("src").alias("k")))
 
 
-SPARSE = "l_quantity = 50 and abs(l_discount - 0.1) < 1e-9"
-LINKED = f"with recursive e as (select distinct 2 * l_suppkey a, 2 * l_partkey + 1 b from lineitem where {SPARSE}), u as (select a, b from e union select b, a from e), r as (select a k, a c from u union select u.b, r.c from r join u on r.k = u.a) "
-LINKED_ALL = LINKED.replace(f" where {SPARSE}", "")
+LINKED = "with recursive e as (select distinct 2 * l_suppkey a, 2 * l_partkey + 1 b from lineitem), u as (select a, b from e union select b, a from e), r as (select a k, a c from u union select u.b, r.c from r join u on r.k = u.a) "
 
 
-def linked(spark: SparkSession, sf_dir: str, where: str = SPARSE) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where(where)
-    return fixpoint.components(e.select((2 * F.col("l_suppkey")).cast("long").alias("src"), (2 * F.col("l_partkey") + 1).cast("long").alias("dst")))
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey")).cast("long").alias("src"), (2 * F.col("l_partkey") + 1).cast("long").alias("dst"))
+    return fixpoint.components(e)
 
 
 @query(LINKED + "select cast(k as bigint) k, cast(min(c) as bigint) component from r group by k")
@@ -125,51 +124,21 @@ def components(spark, sf_dir):
     return linked(spark, sf_dir)
 
 
-@query(LINKED_ALL + "select cast(k as bigint) k, cast(min(c) as bigint) component from r group by k")
-def components_all(spark, sf_dir):
-    return linked(spark, sf_dir, "true")
-
-
-PRIMARY = ", m as (select k, min(c) component from r group by k) select cast(component as bigint) bucket, cast(coalesce(min(k) filter (where k <= 20), min(k)) as bigint) as primary_goff, bool_or(k <= 20) as prim from m group by component"
-
-
-@query(LINKED + PRIMARY)
+@query(LINKED + ", m as (select k, min(c) component from r group by k) select cast(component as bigint) bucket, cast(coalesce(min(k) filter (where k <= 20), min(k)) as bigint) as primary_goff, bool_or(k <= 20) as prim from m group by component")
 def bucket_primary(spark, sf_dir):
-    return primaries(linked(spark, sf_dir))
-
-
-@query(LINKED_ALL + PRIMARY)
-def bucket_primary_all(spark, sf_dir):
-    return primaries(linked(spark, sf_dir, "true"))
-
-
-def primaries(at: DataFrame) -> DataFrame:
     k = F.col("k")
-    return at.groupBy(F.col("component").alias("bucket")).agg(F.coalesce(F.min(F.when(k <= 20, k)), F.min(k)).alias("primary_goff"), F.max(k <= 20).alias("prim"))
+    return linked(spark, sf_dir).groupBy(F.col("component").alias("bucket")).agg(F.coalesce(F.min(F.when(k <= 20, k)), F.min(k)).alias("primary_goff"), F.max(k <= 20).alias("prim"))
 
 
-CLOSURE = "with recursive e as (select p_partkey a, p_partkey // 2 b from part where p_partkey < 200 union select p_partkey, p_partkey // 3 from part where p_partkey < 200), r as (select a k, b dep from e union select r.k, e.b from r join e on r.dep = e.a) select cast(k as bigint) k, cast(dep as bigint) dep from r"
-
-
-@query(CLOSURE)
+@query("with recursive e as (select p_partkey a, p_partkey // 2 b from part union select p_partkey, p_partkey // 3 from part), r as (select a k, b dep from e union select r.k, e.b from r join e on r.dep = e.a) select cast(k as bigint) k, cast(dep as bigint) dep from r")
 def dep_closure(spark, sf_dir):
-    return closure(table(spark, sf_dir, "part").where("p_partkey < 200"))
-
-
-@query(CLOSURE.replace(" where p_partkey < 200", ""))
-def dep_closure_all(spark, sf_dir):
     return closure(table(spark, sf_dir, "part"))
 
 
 def closure(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey").cast("long")
-    e = part.select(k.alias("src"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("dst")).distinct()
-    at = fixpoint.cut(e.select(F.col("src").alias("k"), F.col("dst").alias("dep")))
-    while True:  # paths double in length each round
-        new = fixpoint.cut(at.union(at.join(at.toDF("dep", "d2"), "dep").select("k", "d2")).distinct())
-        if new.count() == at.count():
-            return new
-        at = new
+    e = part.select(k.alias("src"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("dst"))
+    return rows.closure(e)[0].select(F.col("src").alias("k"), F.col("dst").alias("dep"))
 
 
 LIST = "select l_orderkey, string_agg(l_returnflag || l_linestatus, ',' order by " + ORDER + ") as shape from lineitem group by l_orderkey"
@@ -221,9 +190,8 @@ relational("bitfield_collapse", "lineitem", f"select l_orderkey, l_linestatus, l
 relational("empty_base_elim", "lineitem", f"select l_orderkey, l_partkey, l_linenumber from (select *, lag(l_linenumber) over (partition by l_orderkey order by {ORDER}) as pv from {{lineitem}}) t where pv is null or pv <> l_linenumber")
 relational("enum_catalog", "orders lineitem events", "select kind, name, cast(dense_rank() over (partition by kind order by name) - 1 as bigint) as ordinal from (select 'status' as kind, o_orderstatus as name from {orders} union select 'flag', l_returnflag from {lineitem} union select 'event', event_type from {events}) t")
 relational("enumeratorize", "part", "select p_partkey, case when p_type like '%STEEL' then p_brand else p_type end as ty from {part}")
-relational("symbol_join", "customer nation", "select c_custkey, c_name, n_name from {customer} join {nation} on c_nationkey = n_nationkey where n_nationkey < 12")
+relational("symbol_join", "customer nation supplier", "select c_custkey, c_name, n_name from {customer} join {nation} on c_nationkey = n_nationkey where exists (select 1 from {supplier} where s_nationkey = n_nationkey)")
 relational("symbol_merge_consistency", "part", "select p_brand, count(distinct p_size) as sizes, min(p_type) as ty, count(distinct p_type) > 1 as conflict from {part} group by p_brand")
-relational("merge_candidates", "documents", "select distinct a.doc_id as a, b.doc_id as b from {documents} a join {documents} b on lower(trim(a.text)) = lower(trim(b.text)) and a.doc_id < b.doc_id")
 relational("merge_deps_orphans", "part supplier", "select p_partkey from {part} where not exists (select 1 from {supplier} where s_suppkey = p_partkey)")
 relational("vtable_merge", "lineitem", "select coalesce(a.o, b.o) as o, coalesce(a.s, b.s) as s, coalesce(a.m, b.m) as m, a.m is not null and b.m is not null and a.m <> b.m as conflict from (select l_orderkey as o, l_linenumber as s, min(l_partkey) as m from {lineitem} where l_returnflag = 'A' group by l_orderkey, l_linenumber) a full join (select l_orderkey as o, l_linenumber as s, min(l_partkey) as m from {lineitem} where l_returnflag = 'R' group by l_orderkey, l_linenumber) b on a.o = b.o and a.s = b.s")
 relational("decl_name_union", "part", "select p_brand, array_join(array_sort(collect_set(p_type)), ',') as names from {part} group by p_brand", "select p_brand, string_agg(distinct p_type, ',' order by p_type) as names from part group by p_brand")
@@ -232,8 +200,19 @@ relational("namespace_path", "region nation customer", "select c_custkey, concat
 relational("untemplated_name", "part", "select p_partkey, substring_index(concat(p_name, '<', p_type, '>'), '<', 1) as name from {part}", "select p_partkey, split_part(p_name || '<' || p_type || '>', '<', 1) as name from part")
 relational("split_namespace", "part", "select p_partkey, regexp_replace(concat(p_brand, '::', p_type, '::', p_name), '::[^:]*$', '') as ns, substring_index(concat(p_brand, '::', p_type, '::', p_name), '::', -1) as base from {part}", "select p_partkey, p_brand || '::' || p_type as ns, p_name as base from part")
 relational("regex_unique_match", "part", "select p_brand, count(case when p_type like 'PROMO%' then 1 end) as n, min(case when p_type like 'PROMO%' then p_partkey end) as first_match from {part} group by p_brand")
-relational("name_graph_asymmetry", "lineitem", "select distinct a.l_partkey as a, a.l_suppkey as b from {lineitem} a join {lineitem} b on a.l_partkey = b.l_suppkey and a.l_suppkey = b.l_partkey where a.l_partkey < a.l_suppkey")
+relational("name_graph_asymmetry", "lineitem", "with e as (select distinct l_partkey as p, l_suppkey as s from {lineitem}) select x.p as a, x.s as b from e x join e y on x.p = y.s and x.s = y.p where x.p < x.s")
 relational("goff_normalise", "orders", "select o_custkey, o_orderkey, cast(dense_rank() over (partition by o_custkey order by o_orderkey) - 1 as bigint) as idx from {orders}")
 relational("cache_hits", "orders", "select a.s, case when b.s is null then 'new' when a.h = b.h then 'hit' else 'miss' end as state from (select o_orderkey as s, o_orderstatus as h from {orders}) a left join (select o_orderkey as s, case when o_orderkey % 7 = 0 then 'x' else o_orderstatus end as h from {orders} where o_orderkey % 5 <> 0) b on a.s = b.s")
 relational("stage_counts", "part supplier orders lineitem", "select 'part' as kind, count(*) as n from {part} union all select 'supplier', count(*) from {supplier} union all select 'orders', count(*) from {orders} union all select 'lineitem', count(*) from {lineitem}")
 relational("addr_rel", "orders", "select o_orderkey, lower(hex(o_orderkey + 4096)) as addr, cast(conv(hex(o_orderkey + 4096), 16, 10) as bigint) - 4096 as rel from {orders}", "select o_orderkey, lower(printf('%X', o_orderkey + 4096)) as addr, cast(o_orderkey as bigint) as rel from orders")
+
+
+@query("select a, doc_id as b from (select doc_id, min(doc_id) over (partition by lower(trim(text))) as a from documents where text is not null) t where a < doc_id")
+def merge_candidates(spark, sf_dir):
+    """Each document of a text, with the text's first: a frequent text costs a row a document, and only a hash is shuffled."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("h"))
+    low = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
+    return docs.join(low, "h").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+
+
+from . import typed  # noqa: E402, F401  adds its queries

@@ -9,26 +9,32 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that the cluster names; a local one only where none is named."""
-    sc = df.sparkSession.sparkContext
+    """checkpoint() into the folder that the cluster names; a local one only where none is named and all run on one machine."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
 def resolve(nodes: DataFrame, limit: int = 12) -> DataFrame:
     """(k, root, hops) of a functional graph (k, nxt), nxt null at a root; pointer jumping in log rounds.
 
-    limit rounds reach chains of 2 ** limit; a longer chain or a cycle is an error.
+    Only rows that haven't reached a root jump again. What points outside the table ends there. limit rounds reach
+    chains of 2 ** limit; a longer chain or a cycle is an error.
     """
-    at = nodes.select("k", F.coalesce("nxt", "k").alias("root"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("hops"))
-    for _ in range(limit):
-        at = cut(at)
-        nxt = at.select(F.col("k").alias("root"), F.col("root").alias("r2"), F.col("hops").alias("h2"))
-        moved = at.join(nxt, "root").select("k", "root", "r2", "hops", "h2")
-        if moved.where("r2 <> root").isEmpty():
-            return at
-        at = moved.select("k", F.col("r2").alias("root"), (F.col("hops") + F.col("h2")).alias("hops"))
+    at = cut(nodes.select("k", F.coalesce("nxt", "k").alias("root"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("nxt").isNull().alias("done")))
+    done, left = at.where("done"), at.where("not done")
+    for _ in range(limit + 1):
+        on = done.union(left).select(F.col("k").alias("root"), F.col("root").alias("r2"), F.col("hops").alias("h2"), F.col("done").alias("d2"))
+        moved = left.join(on, "root", "left").select("k", F.coalesce("r2", "root").alias("root"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.coalesce("d2", F.lit(True)).alias("done"))
+        moved = cut(moved)
+        done, left = done.union(moved.where("done")), moved.where("not done")
+        if left.isEmpty():
+            return done.select("k", "root", "hops")
     raise ValueError("alias chain too deep or cyclic")
 
 
@@ -45,16 +51,22 @@ def reach(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:
 
 
 def sweep(rows: DataFrame, refs: DataFrame, always: DataFrame, limit: int = 1000) -> DataFrame:
-    """(k) that survive: marked by roots or by a surviving row, until stable; a row marks itself where refs says so."""
-    live = cut(rows.select("k").distinct())
-    n = live.count()
+    """(k) that survive: marked by roots or by a surviving row, until stable; a row marks itself where refs says so.
+
+    After the first round only what the rows just removed had marked is looked at again.
+    """
+    refs = cut(refs.select("src", "dst").distinct())
+    live, kept = cut(rows.select("k").distinct()), cut(always.select("k").distinct())
+    marked = refs.join(live.withColumnRenamed("k", "src"), "src", "left_semi").select(F.col("dst").alias("k")).union(kept)
+    dead = cut(live.join(marked, "k", "left_anti"))
     for _ in range(limit):
-        marked = refs.join(live.withColumnRenamed("k", "src"), "src", "left_semi").select(F.col("dst").alias("k")).union(always.select("k")).distinct()
-        live = cut(live.join(marked, "k", "left_semi"))
-        m = live.count()
-        if m == n:
+        if dead.isEmpty():
             return live
-        n = m
+        live = cut(live.join(dead, "k", "left_anti"))
+        hit = refs.join(dead.withColumnRenamed("k", "src"), "src", "left_semi").select(F.col("dst").alias("k")).distinct()
+        hit = cut(hit.join(live, "k", "left_semi").join(kept, "k", "left_anti"))
+        still = refs.join(hit.withColumnRenamed("k", "dst"), "dst", "left_semi").join(live.withColumnRenamed("k", "src"), "src", "left_semi").select(F.col("dst").alias("k"))
+        dead = cut(hit.join(still, "k", "left_anti"))
     raise ValueError("sweep did not settle")
 
 

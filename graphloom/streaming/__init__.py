@@ -1 +1 @@
-"""Typed-graph and relational analytics on Spark."""
+"""Units as a stream."""

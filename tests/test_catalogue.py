@@ -28,15 +28,15 @@ def test_cycle_is_an_error(spark):
 
 
 def test_whole_tables(spark):
-    """The queries named _all cover every edge: brute force over the tables."""
+    """The graph queries cover every edge: brute force over the tables."""
     edges = {(2 * r.l_suppkey, 2 * r.l_partkey + 1) for r in spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
     low = {x: x for e in edges for x in e}
     while any(low[a] != low[b] for a, b in edges):
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
-    got = {r.k: r.component for r in catalogue.QUERIES["components_all"](spark, DIR).collect()}
+    got = {r.k: r.component for r in catalogue.QUERIES["components"](spark, DIR).collect()}
     assert got == low
-    assert {r.bucket for r in catalogue.QUERIES["bucket_primary_all"](spark, DIR).collect()} == set(low.values())
+    assert {r.bucket for r in catalogue.QUERIES["bucket_primary"](spark, DIR).collect()} == set(low.values())
     rows = [(k,) for k in range(1000)]
     deps = {0: {0}}
     for k in range(1, 1000):
