@@ -17,7 +17,8 @@ from .common import resident, table
 WINDOW = 16  # bytes under the rolling hash
 MEAN_CHUNK = 64  # spaces between two cuts, on average
 CACHE_BYTES = 96 << 20  # chunks that a worker keeps
-WHITE = frozenset(b" \t\n\v\f\r\x1c\x1d\x1e\x1f")
+WHITE = frozenset(bytes([b]) for b in b" \t\n\v\f\r\x1c\x1d\x1e\x1f") | {b""}
+JOIN_MEMO = 1 << 16  # joins, and words at joins, that a worker keeps
 _POWERS = (np.uint32(0x01000193) ** np.arange(WINDOW, dtype=np.uint32)).astype(np.uint32)
 
 
@@ -33,14 +34,9 @@ def cuts(data: bytes) -> list[int]:
     return at[(h * np.uint32(0x9E3779B1)) >> np.uint32(16) < 65536 // MEAN_CHUNK].tolist()
 
 
-def agrees(left: bytes, right: bytes) -> bool:
-    """Whether ids of left + right are those of left, then those of right.
-
-    A pre-token takes at most the one space before it and, but for a run of white space, none after
-    it. So a join of a byte that isn't white space, a space and one ASCII letter or digit always is a
-    boundary; elsewhere the two are encoded again as one.
-    """
-    return len(right) > 1 and left[-1] < 0x80 and left[-1] not in WHITE and right[0] == 0x20 and right[1:2].isalnum()
+def may_join(before: bytes, after: bytes) -> bool:
+    """Whether a space with no white space around it stands at the cut: only there can a boundary be looked for."""
+    return before[-1:] not in WHITE and after[:1] == b" " and len(after) > 1 and after[1:2] not in WHITE
 
 
 def token_bytes(tokenizer: Tokenizer) -> list[bytes]:
@@ -63,18 +59,54 @@ class ChunkCoder:
         self.tokenizer.no_padding()
         self.cache: OrderedDict[bytes, tuple[int, bytes, bytes]] = OrderedDict()
         self.held = 0
+        self.joins: dict[tuple[bytes, bytes], bool] = {}
+        self.words: dict[bytes, list[int]] = {}
         self.spelled = token_bytes(self.tokenizer)
         self.digits = [b"%d" % i for i in range(len(self.spelled))]
 
     def chunks(self, text: str) -> list[bytes]:
-        """Pieces of the text; a join that doesn't agree is repaired by taking both sides as one."""
+        """The text cut where its bytes say so."""
         data, out, start = text.encode("utf-8", "replace"), [], 0
         for at in cuts(data):
-            if agrees(data[at - 1 : at], data[at : at + 2]):
+            if may_join(data[at - 1 : at], data[at : at + 2]):
                 out.append(data[start:at])
                 start = at
         return [*out, data[start:]] if len(data) > start else out
 
+    def encoded(self, new: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+
+    def repaired(self, texts: list[list[bytes]]) -> list[list[bytes]]:
+        """Chunks whose joins agree: the last word before and the first after give the ids together that they give apart.
+
+        A pre-token holds no space but its first byte, so what those two words say holds for the chunks. Chunks
+        whose join doesn't agree become one, until all do.
+        """
+        while True:
+            sides = [[(a[max(a.rfind(b" "), 0) :], b[: b.find(b" ", 1) if b.find(b" ", 1) > 0 else len(b)]) for a, b in zip(t, t[1:])] for t in texts]
+            new = {j for s in sides for j in s}.difference(self.joins)
+            if len(self.joins) + len(new) > JOIN_MEMO:
+                self.joins, new = {}, {j for s in sides for j in s}
+            if len(self.words) > JOIN_MEMO:
+                self.words = {}
+            some = list({w for j in new for w in j}.difference(self.words))
+            self.words.update(zip(some, self.encoded(some), strict=True))
+            new = list(new)
+            for j, ids in zip(new, self.encoded([a + b for a, b in new]), strict=True):
+                self.joins[j] = ids == self.words[j[0]] + self.words[j[1]]
+            if all(self.joins[j] for s in sides for j in s):
+                return texts
+            texts = [self.merged(t, s) for t, s in zip(texts, sides, strict=True)]
+
+    def merged(self, chunks: list[bytes], sides: list[tuple[bytes, bytes]]) -> list[bytes]:
+        out = chunks[:1]
+        for c, j in zip(chunks[1:], sides, strict=True):
+            if self.joins[j]:
+                out.append(c)
+            else:
+                out[-1] += c
+        return out
+
     def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
         """piece: number of ids, ids as text, decoded bytes."""
         found, new = {}, []
@@ -84,8 +116,7 @@ class ChunkCoder:
                 found[p] = hit
             else:
                 new.append(p)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-        for p, i in zip(new, ids, strict=True):
+        for p, i in zip(new, self.encoded(new), strict=True):
             d = b"".join(map(self.spelled.__getitem__, i))
             d = p if d == p else d.decode("utf-8", "replace").encode()
             found[p] = self.cache[p] = (len(i), b",".join(map(self.digits.__getitem__, i)), d)
@@ -96,7 +127,7 @@ class ChunkCoder:
 
 
 def encode_decode(docs: DataFrame, path: str, keep_texts: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with keep_texts also ids and decoded.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with keep_texts also ids and decoded. An empty table gives no rows.
 
     Null counts as empty: no ids. Rows that repeat stay rows, extra columns are ignored. No shuffle:
     a worker keeps the chunks it has met, up to CACHE_BYTES, over all the tasks that it runs.
@@ -107,7 +138,7 @@ def encode_decode(docs: DataFrame, path: str, keep_texts: bool = False) -> DataF
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                split = [[] if t is None else c.chunks(t) for t in part["text"]]
+                split = c.repaired([[] if t is None else c.chunks(t) for t in part["text"]])
                 known = c.learn([p for s in split for p in s])
                 got = [[known[p] for p in s] for s in split]
                 ids, text = [b",".join(x[1] for x in g) for g in got], [b"".join(x[2] for x in g) for g in got]
@@ -120,4 +151,5 @@ def encode_decode(docs: DataFrame, path: str, keep_texts: bool = False) -> DataF
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_tokens and digests of the ids and the decoded text of every document; a null text counts as empty, null doc_ids and repeated rows stay."""
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
