@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ class Stage:
     symbols: DataFrame
     derived: DataFrame | None = None
 
+    @cached_property
+    def spelled(self) -> DataFrame:
+        """(goff, spelled, kind) of this state; every rule that matches names reads it."""
+        return cut(spelling.spellings(self.types.select("goff", "fqnames")).join(self.types.select("goff", "kind"), "goff"))
+
 
 @dataclass
 class Rules:
@@ -84,7 +90,7 @@ def pick_member(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
     if not r.pick:
         return None
     unions = cut(st.types.where("kind = 'union'"))
-    spelled = cut(spelling.spellings(st.types.select("goff", "fqnames")).join(unions.select("goff"), "goff", "left_semi"))
+    spelled = st.spelled.where("kind = 'union'").drop("kind")
     for pattern, wanted, at in r.pick:
         hit = spelling.unique_match(spelled, pattern)
         if hit is None:
@@ -107,7 +113,7 @@ def enumeratorize(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
     """The first struct or union that a rule finds becomes the rule's enum."""
     if not r.enums:
         return None
-    spelled = cut(spelling.spellings(st.types.select("goff", "fqnames")).join(st.types.select("goff", "kind"), "goff"))
+    spelled = st.spelled
     for record, enum in r.enums:
         hit = spelling.unique_match(spelled.where("kind = 'enum'").drop("kind"), enum)
         if hit is None:
