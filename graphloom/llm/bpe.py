@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from .common import resident, table
 
 WINDOW = 16  # bytes under the rolling hash
-MEAN_CHUNK = 64  # spaces between two cuts, on average
+MEAN_CHUNK = 128  # spaces between two cuts, on average
 CACHE_BYTES = 96 << 20  # chunks that a worker keeps
 WHITE = frozenset(bytes([b]) for b in b" \t\n\v\f\r\x1c\x1d\x1e\x1f") | {b""}
 JOIN_MEMO = 1 << 16  # joins, and words at joins, that a worker keeps
