@@ -70,6 +70,13 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system, on the driver too."""
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 _RESIDENT: dict = {}
 
 
@@ -79,9 +86,7 @@ def resident(key=None, make: Callable | None = None):
         had = len(_RESIDENT)
         _RESIDENT.clear()
         if had:
-            pyarrow.default_memory_pool().release_unused()
-            if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
-                c.malloc_trim(0)
+            trim()
         if key is not None:
             _RESIDENT[key] = make()
     return _RESIDENT.get(key)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, table
+from .common import Hashes, table, trim
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -100,7 +100,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             kept.append(r["doc_id"])
             used += r["b"]
     got = rows.where(F.col("doc_id").isin(kept)).orderBy(F.xxhash64("doc_id"), "doc_id").collect() if kept else []
-    return fit([r["text"] for r in got], [r["quality"] for r in got])
+    model = fit([r["text"] for r in got], [r["quality"] for r in got])
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
