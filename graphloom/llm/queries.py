@@ -16,6 +16,7 @@ NAMES = {
     "op8_token_file": "tokenfile",
     "op9_simhash": "simhash",
     "op10_embedding": "embedding",
+    "op11_merkle": "merkle",
 }
 
 
@@ -30,6 +31,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .urlfilter import SQL
+    from . import merkle, urlfilter
 
-    return {"op4_url_filter": SQL}
+    return {"op4_url_filter": urlfilter.SQL, "op11_merkle": merkle.SQL}
