@@ -17,6 +17,7 @@ NAMES = {
     "op9_simhash": "simhash",
     "op10_embedding": "embedding",
     "op11_merkle": "merkle",
+    "op12_cluster": "cluster",
 }
 
 
@@ -31,6 +32,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import merkle, urlfilter
+    from . import cluster, merkle, urlfilter
 
-    return {"op4_url_filter": urlfilter.SQL, "op11_merkle": merkle.SQL}
+    return {"op4_url_filter": urlfilter.SQL, "op11_merkle": merkle.SQL, "op12_cluster": cluster.SQL}
