@@ -11,10 +11,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import ranked, stored, table
 
 RUN = 8  # nodes that become one
 LEVELS = 3  # levels of a block
@@ -61,20 +61,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with pos, their place in the order among the rows of one g, and n, how many those are.
-
-    Rows are dealt out by ranges of (g, order) and written once, so a group of any size is spread; a place is the
-    row's place in its part and the counts of the parts before.
-    """
-    s = stored(rows.repartitionByRange("g", *order).sortWithinPartitions("g", *order).withColumn("at", F.monotonically_increasing_id()), name)
-    s = s.withColumn("part", F.shiftright("at", 33))
-    of = Window.partitionBy("g")
-    spans = s.groupBy("part", "g").agg(F.min("at").alias("first"), F.count("*").alias("m"))
-    spans = spans.withColumn("n", F.sum("m").over(of)).withColumn("before", F.sum("m").over(of.orderBy("part")) - F.col("m"))
-    return s.join(spans, ["part", "g"]).select(*rows.columns, (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "n")
-
-
 def climb(nodes: DataFrame, carry: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of nodes (g, pos, n, digest, carry): g, block, n, arrays of digests and of each carried column, and the path from the block to its group's root; and (g, digest) of the groups' roots."""
     row = F.struct("pos", "digest", *carry)

@@ -18,6 +18,7 @@ NAMES = {
     "op10_embedding": "embedding",
     "op11_merkle": "merkle",
     "op12_cluster": "cluster",
+    "op13_phrases": "phrases",
 }
 
 
