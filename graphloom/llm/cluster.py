@@ -97,7 +97,7 @@ def first_centres(kept: DataFrame, k: int, seed: int, key: str) -> np.ndarray:
     name = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
     order = F.struct(F.col(key).isNull().alias("none"), F.sha2(name.cast("binary"), 256).alias("h"), F.col("v").alias("v"))
     got = kept.select(order.alias("o")).orderBy("o").limit(k).collect()
-    return np.array([r["o"]["v"] for r in got], dtype=np.int64).reshape(len(got), -1)
+    return np.array([r["o"]["v"] for r in got], dtype=np.int64)
 
 
 def whole(vector: Column, dims: int, scale: int) -> tuple[Column, Column]:

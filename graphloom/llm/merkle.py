@@ -175,7 +175,7 @@ def _sql(levels: int = 8) -> str:
     crc = "xor(list_reduce(flatten([[4294967295], flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(cast(doc_id as varchar), '')])]), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295)"
     low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
     parts = [
-        f"d as materialized (select doc_id, case when lang is null then '' else '=' || lang end as g, {row('text')} as leaf, case when {crc} % 3 = 0 then {row(low)} else {row('text')} end as f from documents)",
+        f"d as materialized (select doc_id, case when lang is null then '' else '=' || lang end as g, {row('text')} as leaf, case when doc_id is not null and {crc} % 3 = 0 then {row(low)} else {row('text')} end as f from documents)",
         "p0 as materialized (select *, '' as g2, '' as s, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos from d)",
         "n0 as materialized (select g, pos, leaf as h from p0)",
     ]
