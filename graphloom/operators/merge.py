@@ -1,15 +1,19 @@
 """Linking units and merging their types, in one pass over all units instead of pair by pair.
 
 Types that share a spelling and fit each other are merged, and so is what they must agree on. A decl is a type
-whose kind ends in _decl. Problems are rows of (code, a, b, msg); with strict they end the run.
+whose kind ends in _decl. Whether all pairs of a group fit is told from the classes of its definitions, so a name that
+a third of all types share costs a row each. Problems are rows of (code, a, b); with strict they end the run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, trees
+from ..plans import fixpoint
 from ..plans.fixpoint import cut
 from . import rows
 
@@ -51,17 +55,6 @@ def family(kind: Column) -> Column:
     return F.regexp_replace(kind, "_decl$", "")
 
 
-def candidates(types: DataFrame, spelled: DataFrame) -> DataFrame:
-    """(a, b), a < b, that a chain of rows links which share a family and a spelling.
-
-    Each row of a group is paired with the group's first only, since merging is transitive: a name that a
-    third of all rows share costs a row each, not the square.
-    """
-    named = types.select("goff", family(F.col("kind")).alias("family")).join(spelled, "goff").select("goff", "family", F.explode("spelled").alias("n"))
-    low = named.groupBy("family", "n").agg(F.min("goff").alias("a"))
-    return named.join(low, ["family", "n"]).where("goff <> a").select("a", F.col("goff").alias("b")).distinct()
-
-
 def skeleton(df: DataFrame) -> Column:
     """Text of all that two types must agree on but goffs, names of the type, and virtual functions."""
     blank = lambda t: F.transform(t, lambda x: F.struct(x["op"].alias("op"), x["n"].alias("n")))
@@ -75,56 +68,118 @@ def base_goffs(df: DataFrame) -> Column:
     return F.transform(rows.tokens(df.select("targs", "members"), False), lambda t: t["g"])
 
 
-def compatibility(types: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) pairs' dependencies: goffs at one position that differ, which must be merged too; and the pairs that don't fit.
+def name_pairs(types: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(family, n, goff): each type under each of its spellings."""
+    return types.select("goff", family(F.col("kind")).alias("family")).join(spelled, "goff").select("family", F.explode("spelled").alias("n"), "goff").distinct()
 
-    A declaration fits anything of its family and depends on nothing. Virtual functions are compared at slots
-    that both have, destructors with each other whatever their slot.
-    """
-    is_decl = F.col("kind").endswith("_decl")
+
+def shapes(types: DataFrame) -> DataFrame:
+    """(goff, family, decl, skeleton, gs, slots) of types: what must be equal, and the goffs by position; slots: (slot, shape, gs) of virtual functions, destructors with each other whatever their slot."""
     slot = lambda v: F.when(v["name"].startswith("~"), F.lit("~")).otherwise(v["idx"].cast("string"))
     shape = lambda v: F.concat_ws("|", F.when(v["name"].startswith("~"), F.lit("~")).otherwise(v["name"]), F.to_json(F.transform(v["fn"], lambda t: F.transform(t, lambda x: F.struct(x["op"].alias("op"), x["n"].alias("n"))))))
-    slots = F.map_from_entries(F.transform("vtable", lambda v: F.struct(slot(v).alias("k"), F.struct(shape(v).alias("shape"), F.transform(F.flatten(v["fn"]), lambda t: t["g"]).alias("gs")).alias("v"))))
-    view = types.select("goff", family(F.col("kind")).alias("family"), is_decl.alias("decl"), skeleton(types).alias("skeleton"), base_goffs(types).alias("gs"), slots.alias("slots"))
-    side = lambda s: view.select(F.col("goff").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("family", "decl", "skeleton", "gs", "slots")])
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    common = F.array_intersect(F.map_keys("a_slots"), F.map_keys("b_slots"))
-    differ = F.exists(common, lambda k: F.col("a_slots")[k]["shape"] != F.col("b_slots")[k]["shape"])
-    defined = ~F.col("a_decl") & ~F.col("b_decl")
-    bad = (F.col("a_family") != F.col("b_family")) | (defined & ((F.col("a_skeleton") != F.col("b_skeleton")) | F.coalesce(differ, F.lit(False))))
-    both = cut(both.withColumn("bad", bad))
-    virtual = F.flatten(F.transform(common, lambda k: F.arrays_zip(F.col("a_slots")[k]["gs"].alias("x"), F.col("b_slots")[k]["gs"].alias("y"))))
-    zipped = F.concat(F.transform(F.arrays_zip("a_gs", "b_gs"), lambda z: F.struct(z["a_gs"].alias("x"), z["b_gs"].alias("y"))), F.transform(virtual, lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))))
-    deps = both.where(~F.col("bad") & defined).select("a", "b", F.explode(zipped).alias("z")).select("a", "b", F.least("z.x", "z.y").alias("x"), F.greatest("z.x", "z.y").alias("y"))
-    return deps.where("x <> y").distinct(), both.where("bad").select("a", "b")
-
-
-def merge_pairs(types: DataFrame, spelled: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(a, b) pairs to be merged, closed under what they depend on; and errors (code, a, b).
-
-    A dependency that isn't a pair joins them if one side has no name (an anonymous or a local type), else it is an error.
+    slots = F.transform("vtable", lambda v: F.struct(slot(v).alias("slot"), shape(v).alias("shape"), F.transform(F.flatten(v["fn"]), lambda t: t["g"]).alias("gs")))
+    decl = F.col("kind").endswith("_decl")
+    return types.select("goff", family(F.col("kind")).alias("family"), decl.alias("decl"), F.when(~decl, skeleton(types)).alias("skeleton"), base_goffs(types).alias("gs"), F.when(~decl, slots).alias("slots"))
+
+
+def unfit(view: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, code, a, b) where members of a group (group, goff) don't all fit: a and b are the least goffs of two of its classes, a of the first.
+
+    Definitions fit if family, skeleton and the shape of every slot that both have are equal, and declarations fit
+    anything of their family; so classes are counted by group and by group and slot, and no pair is skipped.
+    """
+    at = groups.join(view, "goff")
+
+    def classes(df: DataFrame, by: list[str], what: str, code: str) -> DataFrame:
+        one = df.where(F.col(what).isNotNull()).groupBy(*by, what).agg(F.min("goff").alias("b"))
+        of = Window.partitionBy(*by)
+        return one.withColumn("a", F.min("b").over(of)).where("a <> b").select("group", F.lit(code).alias("code"), "a", "b")
+
+    slots = at.where("not decl").select("group", "goff", F.explode("slots").alias("s")).select("group", "goff", "s.slot", "s.shape")
+    return classes(at, ["group"], "family", "kind").union(classes(at.where("not decl"), ["group"], "skeleton", "shape")).union(classes(slots, ["group", "slot"], "shape", "slot")).distinct()
+
+
+def fits(types: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(goff, fits): whether a type fits every other of its family that shares a spelling with it; only types that share one are listed."""
+    named = cut(name_pairs(types, spelled).withColumn("group", F.struct("family", "n")).select("group", "goff"))
+    view = cut(shapes(types))
+    many = named.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
+    bad = unfit(view, named).select("group").distinct()
+    # in a group with several classes no definition fits all others; with classes by slot, only those that have the slot
+    defined = named.join(bad, "group", "left_semi").join(view.where("not decl"), "goff")
+    whole = defined.groupBy("group").agg((F.count_distinct("skeleton") > 1).alias("whole"))
+    slots = defined.select("group", "goff", F.explode("slots").alias("s")).select("group", "goff", "s.slot", "s.shape")
+    odd = slots.groupBy("group", "slot").agg(F.count_distinct("shape").alias("m")).where("m > 1").select("group", "slot")
+    not_fit = defined.join(whole.where("whole"), "group", "left_semi").select("goff").union(slots.join(odd, ["group", "slot"], "left_semi").select("goff")).distinct()
+    return named.join(many, "group", "left_semi").select("goff").distinct().join(not_fit.withColumn("bad", F.lit(True)), "goff", "left").select("goff", F.col("bad").isNull().alias("fits"))
+
+
+def _stars(df: DataFrame, by: list[str]) -> DataFrame:
+    """(src, dst): the least goff of each group and every other one."""
+    return df.select(*by, "goff").join(df.groupBy(*by).agg(F.min("goff").alias("src")), by).where("goff <> src").select("src", F.col("goff").alias("dst")).distinct()
+
+
+def plan_merges(types: DataFrame, spelled: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(goff, primary) of the types that merge, in groups of two and more; and problems (code, a, b).
+
+    Types of one spelling and family merge, over any number of spellings, and so do types at one position of merged
+    types where one of the two has no name. A group whose definitions don't fit falls apart: code kind, shape or slot,
+    with the least goffs of two classes. What is left of it are groups of equal definitions of one spelling; its
+    declarations stay alone, since it is open which definition they mean. A position whose two types both have names
+    but don't merge is an orphan. A group with an orphan, or with a position whose types a failed group would have
+    merged, is withdrawn (code withdrawn: the group's primary and that of a group that it needs), and so on along what
+    depends on it; groups that need each other merge. Problems at a position name two goffs of it.
     """
-    unnamed = types.select("goff").join(spelled.where(F.size("spelled") > 0).select("goff"), "goff", "left_anti")
-    pairs = cut(candidates(types, spelled))
-    fresh, wrong = pairs, None
+    view = cut(shapes(types))
+    named = cut(name_pairs(types, spelled))
+    unnamed = cut(types.select("goff").join(named.select("goff"), "goff", "left_anti"))
+    both_defined = view.where("not decl").select("goff", "skeleton")
+    links = cut(_stars(named, ["family", "n"]))
+    split = cut(links.limit(0))  # pairs of groups that fell apart
+    broken = None
     for _ in range(limit):
-        deps, bad = compatibility(types, fresh)
-        err = bad.select(F.lit("shape").alias("code"), "a", "b")
-        wrong = err if wrong is None else wrong.union(err)
-        want = deps.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        joined = rows.buckets(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))[0]
-        same = lambda df: df.join(joined.select(F.col("goff").alias("a"), F.col("primary").alias("pa")), "a", "left").join(joined.select(F.col("goff").alias("b"), F.col("primary").alias("pb")), "b", "left").where(~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))).select("a", "b")
-        orphans = cut(same(want))
-        prim = orphans.where(trees.is_prim(F.col("a")) | trees.is_prim(F.col("b")))
-        free = orphans.where(~trees.is_prim(F.col("a")) & ~trees.is_prim(F.col("b")))
-        loose = free.join(unnamed.withColumnRenamed("goff", "a"), "a", "left_semi").union(free.join(unnamed.withColumnRenamed("goff", "b"), "b", "left_semi").select("a", "b")).distinct()
-        lost = free.join(loose, ["a", "b"], "left_anti").union(prim.select("a", "b"))
-        wrong = cut(wrong.union(lost.select(F.lit("orphan").alias("code"), "a", "b")))
-        fresh = cut(loose)
+        joined = cut(rows.buckets(links.select("src", "dst"))[0].select(F.col("primary").alias("group"), "goff"))
+        bad = cut(unfit(view, joined))
+        if not bad.isEmpty():
+            broken = bad if broken is None else cut(broken.union(bad).distinct())
+            apart = joined.join(bad.select("group").distinct(), "group", "left_semi")
+            # definitions of one spelling and skeleton stay together, and so do pairs without names of one skeleton
+            same = named.join(apart.select("goff"), "goff", "left_semi").join(both_defined, "goff")
+            slot_bad = bad.where("code = 'slot'").select("group").distinct().join(joined, "group").select("goff")
+            kept = _stars(same.join(slot_bad, "goff", "left_anti"), ["family", "n", "skeleton"])
+            inside = links.join(apart.select(F.col("goff").alias("src")), "src", "left_semi")
+            l, r = both_defined.toDF("src", "s1"), both_defined.toDF("dst", "s2")
+            loose = inside.join(unnamed.withColumnRenamed("goff", "src"), "src", "left_semi").union(inside.join(unnamed.select(F.col("goff").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            loose = loose.join(l, "src").join(r, "dst").where("s1 = s2").select("src", "dst").join(slot_bad.withColumnRenamed("goff", "src"), "src", "left_anti")
+            split = cut(split.union(inside).distinct())
+            links = cut(links.join(inside, ["src", "dst"], "left_anti").union(kept).union(loose).distinct())
+            joined = cut(rows.buckets(links.select("src", "dst"))[0].select(F.col("primary").alias("group"), "goff"))
+        at = joined.join(view.where("not decl"), "goff")
+        by_place = at.select("group", F.lit("").alias("slot"), F.posexplode("gs").alias("pos", "g"))
+        by_slot = at.select("group", F.explode("slots").alias("s")).select("group", "s.slot", F.posexplode("s.gs").alias("pos", "g"))
+        place = by_place.union(by_slot).where("g is not null").distinct()
+        need = place.join(place.groupBy("group", "slot", "pos").agg(F.min("g").alias("x")), ["group", "slot", "pos"]).where("g <> x").select("group", "x", F.col("g").alias("y")).distinct()
+        to = lambda c, name: joined.select(F.col("goff").alias(c), F.col("group").alias(name))
+        need = cut(need.join(to("x", "bx"), "x", "left").join(to("y", "by"), "y", "left").withColumns({"bx": F.coalesce("bx", "x"), "by": F.coalesce("by", "y")}))
+        open_ = need.where("bx <> by")
+        free = open_.where(~trees.is_prim(F.col("x")) & ~trees.is_prim(F.col("y"))).select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+        loose = free.join(unnamed.withColumnRenamed("goff", "src"), "src", "left_semi").union(free.join(unnamed.withColumnRenamed("goff", "dst"), "dst", "left_semi").select("src", "dst"))
+        fresh = cut(loose.distinct().join(split, ["src", "dst"], "left_anti").join(links, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
-            return pairs, wrong.distinct()
-        pairs = cut(pairs.union(fresh).distinct())
-    raise ValueError("dependencies did not settle")
+            break
+        links = cut(links.union(fresh).distinct())
+    else:
+        raise ValueError("dependencies did not settle")
+    roots = open_.select(F.col("group").alias("k")).distinct()
+    uses = cut(need.where("bx = by").select(F.col("bx").alias("src"), F.col("group").alias("dst")).where("src <> dst").distinct())
+    failed = cut(fixpoint.reach(uses, roots)) if not roots.isEmpty() else roots
+    wrong = open_.select(F.lit("orphan").alias("code"), F.col("x").alias("a"), F.col("y").alias("b"))
+    if broken is not None:
+        wrong = broken.select("code", "a", "b").union(wrong)
+    held = uses.join(failed.withColumnRenamed("k", "src"), "src", "left_semi").groupBy(F.col("dst").alias("a")).agg(F.min("src").alias("b"))
+    wrong = wrong.union(held.join(roots.withColumnRenamed("k", "a"), "a", "left_anti").select(F.lit("withdrawn"), "a", "b"))
+    out = joined.join(failed.withColumnRenamed("k", "group"), "group", "left_anti").select("goff", F.col("group").alias("primary"))
+    return cut(out), cut(wrong.distinct())
 
 
 def merged_vtables(types: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,14 +192,13 @@ def merged_vtables(types: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFram
     return tables, per.where("clash").select(F.col("to").alias("goff"), "slot")
 
 
-def merge_groups(types: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Types with each group as one row under its primary goff, (goff, to) of the rows that went, and errors (code, goff).
+def merge_groups(types: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Types with each group (goff, primary) as one row under its primary goff, (goff, to) of the rows that went, and errors (code, a, b).
 
     A primitive wins over an enum, that over a struct, that over a union, each over declarations; then the least
     goff. Names other than the winner's go to decl_names.
     """
-    group, two = rows.buckets(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    group = cut(group.withColumnRenamed("primary", "to"))
+    group = cut(groups.select("goff", F.col("primary").alias("to")))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("prim", "enum", "struct", "union"))), F.col("kind")), F.lit(0))
     rank = F.when(rank == 0, F.when(F.col("kind") == "enum_decl", 5).when(F.col("kind") == "struct_decl", 6).otherwise(7)).otherwise(rank)
     at = types.join(group, "goff").withColumn("rank", rank)
@@ -158,25 +212,26 @@ def merge_groups(types: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
     tables, clash = merged_vtables(types, group)
     win = win.drop("goff", "vtable").withColumnRenamed("to", "goff").join(tables, "goff", "left").withColumn("vtable", F.coalesce("vtable", F.array().cast(types.schema["vtable"].dataType)))
     rest = types.join(group.select("goff"), "goff", "left_anti")
-    wrong = two.select(F.lit("two primitives").alias("code"), F.col("primary").alias("goff")).union(clash.select(F.lit("slot name"), "goff")).union(kinds.where("n > 1").select(F.lit("kind"), F.col("to")))
+    wrong = clash.select(F.lit("slot name").alias("code"), F.col("goff").alias("a"), F.col("goff").alias("b")).union(kinds.where("n > 1").select(F.lit("kind"), "to", "to"))
     return rest.unionByName(win.select(rest.columns)), group.where("goff <> to"), wrong
 
 
-def link(types: DataFrame, symbols: DataFrame, spelled: DataFrame, strict: bool = True, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Types and symbols of all units as one, and errors: pairs, their merge, references, dedupe, then the sweep from the symbols.
+def link(types: DataFrame, symbols: DataFrame, spelled: Callable[[DataFrame], DataFrame], strict: bool = True, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Types and symbols of all units as one, and problems (code, a, b): merges, references, dedupe, then the sweep from the symbols.
 
-    Rounds repeat while a merge gives new spellings that make new pairs; spelled: a function of types that gives (goff, spelled).
+    Rounds repeat while a merge gives new spellings that make new groups; spelled: a function of types that gives
+    (goff, spelled). strict: a problem is an error; else what it keeps from merging stays as it is, see plan_merges().
     """
     wrong = None
     for _ in range(limit):
-        pairs, bad = merge_pairs(types, spelled(types))
-        ok = pairs.join(bad.select("a", "b"), ["a", "b"], "left_anti")
-        some = bad.select("code", F.col("a").alias("goff"))
-        if ok.isEmpty():
-            wrong = some if wrong is None else wrong.union(some)
+        groups, bad = plan_merges(types, spelled(types))
+        if strict and not bad.isEmpty():
+            raise ValueError(f"types can't be merged: {bad.limit(5).collect()}")
+        wrong = bad if wrong is None else wrong.union(bad)
+        if groups.isEmpty():
             break
-        types, to, more = merge_groups(types, ok)
-        wrong = some.union(more) if wrong is None else wrong.union(some).union(more)
+        types, to, more = merge_groups(types, groups)
+        wrong = cut(wrong.union(more))
         types, symbols = cut(rows.map_goffs(types, to, own=False)), cut(rows.map_goffs(symbols, to, ["link_name"], own=False))
         types, gone = rows.dedupe(types)
         symbols = cut(rows.map_goffs(symbols, gone, ["link_name"], own=False))

@@ -1,4 +1,9 @@
-"""Rules that rewrite types, one change at a time, in order of priority; a change starts again at the first rule."""
+"""Rules that rewrite types in order of priority; a change starts again at the first rule.
+
+The meaning is that of one change at a time, the least goff first. The rules over shapes run in batches that give the
+same result: all that a rule finds changes at once, but for what depends on the order, which waits for a later batch
+(see waiting()). Trees that stand for each other are composed, chains twice as far a round.
+"""
 
 from __future__ import annotations
 
@@ -72,12 +77,15 @@ def _size(tree: str, df: DataFrame, st: Stage, r: Rules) -> DataFrame:
     return rows.tree_sizes(df, tree, ["goff"], rows.sizes(st.types), r.pointer, r.data_member, r.function_member)
 
 
-def _first(df: DataFrame, fixed: DataFrame) -> Change | None:
-    """The change of the least goff among (goff, to) that the guard lets through: a composite tree can't stand for a type that fixed has."""
-    single = rows.single_base(F.col("to")).isNotNull()
+def guarded(df: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(goff, to, held) that may go: a composite tree can't stand for a type that fixed has; held says whether it has it."""
     held = fixed.select("goff", F.lit(True).alias("held"))
-    ok = df.join(held, "goff", "left").where(single | F.col("held").isNull())
-    got = ok.orderBy("goff").limit(1).collect()
+    return df.join(held, "goff", "left").withColumn("held", F.coalesce("held", F.lit(False))).where(rows.single_base(F.col("to")).isNotNull() | ~F.col("held") | (F.size("to") == 0))
+
+
+def _first(df: DataFrame, fixed: DataFrame) -> Change | None:
+    """The change of the least goff among (goff, to) that the guard lets through."""
+    got = guarded(df, fixed).orderBy("goff").limit(1).collect()
     if not got:
         return None
     if any(t["g"] == got[0]["goff"] for t in got[0]["to"]):
@@ -124,41 +132,124 @@ def enumeratorize(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
     return None
 
 
-def single_member(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
-    """A struct of one member without virtual functions is that member; another size is an error if strict."""
-    one = st.types.where("kind = 'struct' and size(members) = 1 and size(vtable) = 0").withColumn("to", F.col("members")[0]["ty"])
+def single_members(st: Stage, r: Rules) -> DataFrame:
+    """(goff, to) of structs of one member without virtual functions, of the member's size; another size is an error if strict."""
+    one = st.types.where("kind = 'struct' and size(members) = 1 and size(vtable) = 0").select("goff", "byte_size", F.get("members", F.lit(0))["ty"].alias("to"))
     one = cut(_size("to", one, st, r))
-    odd = one.where(~F.col("byte_size").eqNullSafe(F.col("tree_size")))
-    if r.strict and (bad := odd.orderBy("goff").first()):
+    fits = F.col("byte_size").eqNullSafe(F.col("tree_size"))
+    if r.strict and (bad := one.where(~fits).orderBy("goff").first()):
         raise ValueError(f"struct {bad['goff']} has size {bad['byte_size']}, its member {bad['tree_size']}")
-    return _first(one.where(F.col("byte_size").eqNullSafe(F.col("tree_size"))).select("goff", "to"), fixed)
+    return one.where(fits).select("goff", "to")
 
 
-def number_of_members(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
-    """A union without members is an empty struct, one of a single member is that member, and of two the only named type of the union's size."""
+def few_members(st: Stage, r: Rules) -> DataFrame:
+    """(goff, to, odd) of unions: without members, which become empty structs (to is empty), of a single member, and of two of which one is a named type of the union's size. odd: a single member of another size."""
     n = st.types.where("kind = 'union' and size(members) <= 2")
     named = lambda i: F.coalesce(rows.single_base(F.get("members", F.lit(i))["ty"]) < trees.FIRST_PRIM, F.lit(False))
     two = F.when(named(0) & ~named(1), F.get("members", F.lit(0))["ty"]).when(named(1) & ~named(0), F.get("members", F.lit(1))["ty"])
-    to = F.when(F.size("members") == 1, F.col("members")[0]["ty"]).when(F.size("members") == 2, two)
-    cand = cut(_size("to", n.withColumn("to", to).withColumn("to", F.coalesce("to", F.array().cast(trees.TYPE))), st, r))
-    if cand.where("size(members) = 0 and byte_size <> 1").limit(1).count() and r.strict:
+    to = F.when(F.size("members") == 1, F.get("members", F.lit(0))["ty"]).when(F.size("members") == 2, two)
+    cand = cut(_size("to", n.select("goff", "byte_size", F.size("members").alias("n"), F.coalesce(to, F.array().cast(trees.TYPE)).alias("to")), st, r))
+    if r.strict and not cand.where("n = 0 and not byte_size <=> 1").isEmpty():
         raise ValueError("a union without members has a size other than 1")
-    empty = cand.where("size(members) = 0 and byte_size = 1").agg(F.min("goff")).first()[0]
-    ok = cand.where("size(members) = 1 or (size(members) = 2 and size(to) > 0 and tree_size = byte_size)")
-    got = _first(ok.select("goff", "to"), fixed)
-    if empty is not None and (got is None or empty < got[0]):
-        return empty, None
-    return got
+    ok = cand.where("(n = 0 and byte_size = 1) or n = 1 or (n = 2 and size(to) > 0 and tree_size = byte_size)")
+    return ok.select("goff", "to", ((F.col("n") == 1) & ~F.col("byte_size").eqNullSafe(F.col("tree_size"))).alias("odd"))
 
 
-def same_type_members(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
-    """A union whose members are all of one type is that type."""
+def same_types(st: Stage, r: Rules) -> DataFrame:
+    """(goff, to) of unions whose members are all of one type."""
     ty = F.transform("members", lambda m: m["ty"])
-    some = st.types.where("kind = 'union' and size(members) > 0").where(F.size(F.array_distinct(ty)) == 1)
-    return _first(some.select("goff", F.col("members")[0]["ty"].alias("to")), fixed)
+    return st.types.where("kind = 'union' and size(members) > 0").where(F.size(F.array_distinct(ty)) == 1).select("goff", F.get("members", F.lit(0))["ty"].alias("to"))
 
 
-RULES: list[Callable[[Stage, Rules, DataFrame], Change | None]] = [pick_member, enumeratorize, single_member, number_of_members, same_type_members]
+def single_member(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
+    return _first(single_members(st, r), fixed)
+
+
+def number_of_members(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
+    cand = few_members(st, r)
+    empty = cand.where("size(to) = 0").agg(F.min("goff")).first()[0]
+    got = _first(cand.where("size(to) > 0"), fixed)
+    return (empty, None) if empty is not None and (got is None or empty < got[0]) else got
+
+
+def same_type_members(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
+    return _first(same_types(st, r), fixed)
+
+
+BY_NAME: list[Callable[[Stage, Rules, DataFrame], Change | None]] = [pick_member, enumeratorize]
+BY_SHAPE = [(single_member, single_members), (number_of_members, few_members), (same_type_members, same_types)]
+
+
+def waiting(st: Stage, cand: DataFrame, rule: Callable) -> DataFrame:
+    """(goff) of candidates whose turn comes later, since what they become depends on which of two goes first.
+
+    These are: one that only a single type may replace, and the type that would is to go before it (or, where same
+    types are looked for, may go); a union of two, one of them a named type that is to go before it; and the second of
+    the two named members of a union, where that union might be reduced to it in between. The least goff never waits.
+    """
+    base = rows.single_base(F.col("to"))
+    own = cand.select("goff", "held", base.alias("base"))
+    is_cand = cand.select(F.col("goff").alias("base"), F.lit(True).alias("goes"))
+    unions = st.types.where("kind = 'union'").select(F.col("goff").alias("base"), F.size("members").alias("n"))
+    sizes = st.types.where("kind = 'union'").select("goff", F.size("members").alias("own_n"))
+    at = own.join(is_cand, "base", "left").join(unions, "base", "left").join(sizes, "goff", "left")
+    late = F.coalesce(F.col("goes"), F.lit(False)) & (F.col("base") < F.col("goff"))
+    if rule is same_type_members:
+        least = cand.agg(F.min("goff").alias("least"))
+        at = at.crossJoin(F.broadcast(least))  # one row
+        return at.where(F.col("held") & (late | (F.col("n").isNotNull() & (F.col("goff") > F.col("least"))))).select("goff").union(_second(st, cand, always=True)).distinct()
+    out = at.where((F.col("held") | ((F.col("own_n") == 2) if rule is number_of_members else F.lit(False))) & late).select("goff")
+    return out.union(_second(st, cand, always=False)).distinct() if rule is number_of_members else out.distinct()
+
+
+def _second(st: Stage, cand: DataFrame, always: bool) -> DataFrame:
+    """(goff) of the greater of two candidates that are the members of one union; not where the union comes after both, unless always."""
+    m = lambda i: rows.single_base(F.get("members", F.lit(i))["ty"])
+    two = st.types.where("kind = 'union' and size(members) = 2").select(F.col("goff").alias("u"), F.least(m(0), m(1)).alias("a"), F.greatest(m(0), m(1)).alias("b"), (m(0).isNotNull() & m(1).isNotNull()).alias("both")).where("both and a < b")
+    two = two.join(cand.select(F.col("goff").alias("a")), "a", "left_semi").join(cand.select(F.col("goff").alias("b")), "b", "left_semi")
+    return (two if always else two.where("u < b")).select(F.col("b").alias("goff"))
+
+
+def together(st: Stage, go: DataFrame) -> Stage:
+    """All of go (goff, to) give way at once, to what their trees are once composed; those with an empty tree become empty structs.
+
+    A class of a pointer to member that would become a tree is an error where such a pointer is left. Names of types that end in a named type go to that, their own before others'. derived has a row for a name and each
+    name of the type that stood for its type directly; pairs that follow through that one, or from a name that it had
+    been given in this batch, aren't written out.
+    """
+    empty = go.where("size(to) = 0").select("goff", F.lit(True).alias("empty"))
+    direct = cut(go.where("size(to) > 0").select("goff", F.col("to").alias("tree")))
+    by = rows.composed(direct, strict=True)
+    types = st.types.join(empty, "goff", "left").withColumn("kind", F.when(F.col("empty"), "struct").otherwise(F.col("kind"))).drop("empty")
+    types = cut(rows.substituted(types, by, strict=True))
+    gone = types.join(by.select("goff", rows.single_base(F.col("tree")).alias("root")), "goff").where(F.col("root") < trees.FIRST_PRIM)
+    kind = types.schema["fqnames"].dataType
+    each = lambda df, to: df.select(F.col(to).alias("goff"), F.explode("fqnames").alias("x")).withColumn("text", F.to_json("x"))
+    own = types.join(gone.select(F.col("root").alias("goff")).distinct(), "goff", "left_semi")
+    # one row a name: distinct on arrays of structs would take the square of a type's names
+    more = each(gone, "root").groupBy("goff", "text").agg(F.first("x").alias("x")).join(each(own, "goff").select("goff", "text"), ["goff", "text"], "left_anti")
+    given = more.groupBy("goff").agg(F.transform(F.array_sort(F.collect_list(F.struct("text", "x"))), lambda p: p["x"]).alias("given"))
+    left = types.join(by.select("goff"), "goff", "left_anti").join(given, "goff", "left")
+    left = left.withColumn("fqnames", F.concat(F.coalesce("fqnames", F.array().cast(kind)), F.coalesce("given", F.array().cast(kind)))).drop("given")
+    to = direct.select("goff", rows.single_base(F.col("tree")).alias("base")).where(F.col("base") < trees.FIRST_PRIM)
+    lower = types.join(to, "goff").select("base", F.explode("fqnames").alias("d")).select("base", F.to_json("d").alias("derived"))
+    upper = types.select(F.col("goff").alias("base"), F.explode("fqnames").alias("b")).select("base", F.to_json("b").alias("name"))
+    edge = lower.join(upper, "base").select("derived", F.col("name").alias("base"))
+    derived = cut(edge if st.derived is None else st.derived.union(edge))
+    spelling.name_graph(derived)
+    return Stage(cut(rows.unlost(left)), cut(rows.unlost(rows.substituted(st.symbols, by, ["link_name"], strict=True))), derived)
+
+
+def batch(st: Stage, r: Rules, fixed: DataFrame) -> Stage | None:
+    """What the first rule over shapes that finds anything changes, as far as it can go together; None where none finds anything."""
+    for rule, candidates in BY_SHAPE:
+        cand = cut(guarded(candidates(st, r), fixed))
+        if cand.isEmpty():
+            continue
+        if "odd" in cand.columns and not cand.where("odd").isEmpty():
+            return eliminate(st, rule(st, r, fixed))  # sizes change, which other rules look at
+        return together(st, cut(cand.join(waiting(st, cand, rule), "goff", "left_anti").select("goff", "to")))
+    return None
 
 
 def literal(tokens: list) -> Column:
@@ -188,13 +279,27 @@ def eliminate(st: Stage, change: Change) -> Stage:
     return Stage(cut(out), cut(rows.replace(st.symbols, goff, by)), derived)
 
 
-def optimize(st: Stage, r: Rules, prune: bool = False, limit: int = 100_000) -> Stage:
-    """Rules until none changes anything. The types that only a named type may stand for are found once, before."""
+def optimize(st: Stage, r: Rules, prune: bool = False, limit: int = 100_000, batches: bool = True) -> Stage:
+    """Rules until none changes anything. The types that only a named type may stand for are found once, before.
+
+    Rules over names change one type at a time. After a batch that makes one of them match, the batch is taken back,
+    and one change is made instead; without batches every change is made alone.
+    """
     fixed = cut(rows.non_eliminateable(st.types, st.symbols))
     st = Stage(cut(st.types), cut(st.symbols), st.derived)
     for _ in range(limit):
-        change = next((c for rule in RULES if (c := rule(st, r, fixed)) is not None), None)
-        if change is None:
+        change = next((c for rule in BY_NAME if (c := rule(st, r, fixed)) is not None), None)
+        if change is not None:
+            st = eliminate(st, change)
+            continue
+        if batches:
+            new = batch(st, r, fixed)
+            if new is not None and (r.pick or r.enums) and any(rule(new, r, fixed) is not None for rule in BY_NAME):
+                new = eliminate(st, next(c for rule, _ in BY_SHAPE if (c := rule(st, r, fixed)) is not None))
+        else:
+            change = next((c for rule, _ in BY_SHAPE if (c := rule(st, r, fixed)) is not None), None)
+            new = None if change is None else eliminate(st, change)
+        if new is None:
             return Stage(rows.prune(st.types, st.symbols), st.symbols, st.derived) if prune else st
-        st = eliminate(st, change)
+        st = new
     raise ValueError("rules did not settle")

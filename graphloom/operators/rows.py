@@ -99,17 +99,32 @@ def map_goffs(df: DataFrame, mapping: DataFrame, key: list[str] = ["goff"], own:
     return out.select(cols)
 
 
-def substituted(df: DataFrame, by: DataFrame, key: list[str] = ["goff"]) -> DataFrame:
-    """Every BASE whose goff by (goff, tree) has gives way to that tree; classes of pointers to members only to a single BASE."""
+def substituted(df: DataFrame, by: DataFrame, key: list[str] = ["goff"], strict: bool = False) -> DataFrame:
+    """Every BASE whose goff by (goff, tree) has gives way to that tree; classes of pointers to members only to a single BASE.
+
+    strict: names that hold a goff whose tree isn't a single BASE go, and a class that would become another tree is
+    marked LOST; see unlost().
+    """
     cols = df.columns
+    whole = lambda new: (F.size(new) == 1) & (F.get(new, F.lit(0))["op"] == "BASE")
 
     def one(t: Column) -> Column:
         new = F.try_element_at("found", t["g"])
-        whole = (F.size(new) == 1) & (new[0]["op"] == "BASE")
         owner = F.array(F.struct(t["op"].alias("op"), new[0]["g"].alias("g"), t["n"].alias("n"), new[0]["s"].alias("s")))
-        return F.when(t["g"].isNull() | new.isNull(), F.array(t)).when(t["op"] == "BASE", new).when(whole, owner).otherwise(F.array(t))
+        rest = trees.token("LOST") if strict else F.array(t)
+        return F.when(t["g"].isNull() | new.isNull(), F.array(t)).when(t["op"] == "BASE", new).when(whole(new), owner).otherwise(rest)
+
+    at = looked_up(df, by, "tree", key)
+    if strict and "fqnames" in cols:
+        lost = lambda t: F.coalesce(~whole(F.try_element_at("found", t["g"])), F.lit(False))
+        at = at.withColumn("fqnames", F.filter("fqnames", lambda n: ~F.exists(n["targs"], lambda a: F.coalesce(F.exists(a["tree"], lost), F.lit(False)))))
+    return rewritten(at, lambda tree: F.flatten(F.transform(tree, one))).select(cols)
 
-    return rewritten(looked_up(df, by, "tree", key), lambda tree: F.flatten(F.transform(tree, one))).select(cols)
+
+def unlost(df: DataFrame) -> DataFrame:
+    """df; an error where a tree still has a class that would have become a tree."""
+    fail = F.raise_error(F.lit("the class of a pointer to member can't become a tree")).cast(trees.TYPE)
+    return rewritten(df, lambda t: F.when(F.exists(t, lambda x: x["op"] == "LOST"), fail).otherwise(t))
 
 
 def replace(df: DataFrame, goff: int, tree: Column) -> DataFrame:
@@ -136,7 +151,7 @@ def peephole(tree: Column) -> Column:
 
 
 def single_base(tree: Column) -> Column:
-    return F.when((F.size(tree) == 1) & (tree[0]["op"] == "BASE"), tree[0]["g"])
+    return F.when((F.size(tree) == 1) & (F.get(tree, F.lit(0))["op"] == "BASE"), F.get(tree, F.lit(0))["g"])
 
 
 def resolved_aliases(types: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,18 +219,22 @@ def tree_sizes(df: DataFrame, tree: str, key: list[str], size: DataFrame, pointe
     return out.withColumn("tree_size", trees.byte_size(F.col(tree), lambda t: F.try_element_at("size_of", t["g"]), pointer, data_member, function_member)).drop("size_of")
 
 
-def flatten_trees(types: DataFrame, limit: int = 1000) -> DataFrame:
-    """Rows without tree rows: each reference to one is written out, then tidied. Trees write each other out until none refers to another."""
-    flat = cut(types.where("kind = 'tree'").select("goff", "tree"))
+def composed(flat: DataFrame, limit: int = 60, strict: bool = False) -> DataFrame:
+    """(goff, tree) with every goff of its own written out, chains twice as far a round; a tree that holds itself is an error."""
+    flat = cut(flat.select("goff", "tree"))
     for _ in range(limit):
-        inner = references(flat).join(flat.select(F.col("goff").alias("dst")), "dst", "left_semi")
+        inner = cut(references(flat).join(flat.select(F.col("goff").alias("dst")), "dst", "left_semi"))
         if inner.isEmpty():
-            break
+            return flat
         if not inner.where("src = dst").isEmpty():
             raise ValueError("a tree holds itself")
-        flat = cut(substituted(flat, flat))
-    else:
-        raise ValueError("trees nest too deep")
+        flat = cut(substituted(flat, flat, strict=strict))
+    raise ValueError("trees nest too deep")
+
+
+def flatten_trees(types: DataFrame) -> DataFrame:
+    """Rows without tree rows: each reference to one is written out, then tidied. Trees write each other out until none refers to another."""
+    flat = composed(types.where("kind = 'tree'"))
     flat = cut(flat.withColumn("tree", peephole(F.col("tree"))))
     rest = types.where("kind <> 'tree'")
     return rewritten(substituted(rest, flat), peephole)

@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; a local one only where none is named and all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = shared_dir.own = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="graphloom-")
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that the cluster names; a local one only where none is named and all run on one machine."""
+    """df written as Parquet in the shared folder and read back; the files go when the session's JVM ends.
+
+    Unlike checkpoint() this starts with the size of what was written: a checkpoint keeps the estimate of its plan,
+    and over rounds of joins those multiply to numbers of millions of digits.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom/cut-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    fs.deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def resolve(nodes: DataFrame, limit: int = 12) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, templates
 from ..functions import trees as T
-from ..operators import dies, merge, rows, spelling
+from ..operators import dies, merge, optimize, rows, spelling
 from ..sources.tables import symbol_rows, table
 from .catalogue import CHAIN, LIST, ORDER, query
+from .fixpoint import cut
 
 MEMBER = dies.MEMBER
 
@@ -130,17 +131,83 @@ def entry_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("name", names.namespace_source(F.col("name_ns")).alias("ns"), F.size("members").cast("long").alias("members"), F.when(F.size("members") > 0, show).alias("layout"))
 
 
-@query("""with t as (select p_brand as n, min(p_partkey) as a from part group by p_brand), j as (select p_partkey as b, a from part join t on p_brand = n),
-f as (select a.p_partkey as k, a.p_size as s from part a) select j.a, j.b, fa.s = fb.s as fits from j join f fa on fa.k = j.a join f fb on fb.k = j.b where j.a <> j.b""")
+def empty(**given):
+    """The columns of a row of types, empty but for those given."""
+    return [(given[c].cast(k) if c in given else (F.array() if k.startswith("array") and c != "tree" else F.lit(None)).cast(k)).alias(c) for c, k in ({"goff": "bigint", "kind": "string"} | dies.PAYLOAD).items()]
+
+
+@query("""with t as (select p_partkey as g, p_brand || p_type as n, p_size % 2 as s, p_partkey % 5 = 0 as decl from part)
+select a.g as goff, not bool_or(not a.decl and not b.decl and a.s <> b.s) as fits from t a join t b on a.n = b.n and a.g <> b.g group by a.g""")
 def merge_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as structs named by brand, of their size: candidates of one name, and whether they fit each other."""
+    """Parts as structs, every fifth declared only: whether each fits every other of its name. The SQL compares all pairs of a name."""
     part = table(spark, sf_dir, "part")
-    empty = lambda kind: F.array().cast(kind)
-    types = part.select(F.col("p_partkey").cast("bigint").alias("goff"), F.lit("struct").alias("kind"), F.col("p_size").cast("bigint").alias("byte_size"), empty(dies.PAYLOAD["enumerators"]).alias("enumerators"), empty(dies.PAYLOAD["targs"]).alias("targs"), empty(dies.PAYLOAD["members"]).alias("members"), empty(dies.PAYLOAD["vtable"]).alias("vtable"))
-    spelled = part.select(F.col("p_partkey").cast("bigint").alias("goff"), F.array("p_brand").alias("spelled"))
-    pairs = merge.candidates(types, spelled)
-    bad = merge.compatibility(types, pairs)[1].withColumn("bad", F.lit(True))
-    return pairs.join(bad, ["a", "b"], "left").select("a", "b", F.col("bad").isNull().alias("fits"))
+    kind = F.when(F.col("p_partkey") % 5 == 0, "struct_decl").otherwise("struct")
+    types = part.select(*empty(goff=F.col("p_partkey"), kind=kind, byte_size=F.col("p_size") % 2))
+    return merge.fits(types, part.select(F.col("p_partkey").cast("bigint").alias("goff"), F.array(F.concat("p_brand", "p_type")).alias("spelled")))
+
+
+LINE, USER = 1 << 30, 1 << 31  # below the goffs of primitives
+
+
+@query(f"""with p as (select p_partkey as k, p_partkey % 97 as n, case when p_size > 49 then 16 else 8 end as s, p_partkey % 4 = 1 as decl from part),
+c as (select n, count(distinct case when not decl then s end) > 1 as split from p group by n),
+m as (select k, n, case when not split then min(k) over (partition by n) when decl then k else min(k) over (partition by n, s, decl) end as b from p join c using (n)),
+l as (select l_orderkey * 8 + l_linenumber as g, min(l_partkey) as k, min(l_suppkey) % 3 as v from lineitem group by l_orderkey, l_linenumber),
+j as (select g, min(g) over w as low, min(b) over w = max(b) over w as ok from l join m using (k) window w as (partition by n, v)),
+r as (select k as goff, b as to_ from m union all select g + {LINE}, case when ok then low else g end + {LINE} from j union all select g + {USER}, case when ok then low else g end + {USER} from j)
+select cast(goff as bigint) as goff, cast(to_ as bigint) as primary_goff from r where goff <> to_""")
+def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as structs of few names, some declared only; line items as structs that point to a part and to a user, which points back.
+
+    Parts of a name merge if its definitions are equal, else only those that are. Line items of a name merge with their
+    users, which they need and which need them, where their parts do; where a part's group fell apart they are withdrawn.
+    """
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    decl = F.when(F.col("p_partkey") % 4 == 1, "struct_decl").otherwise("struct")
+    parts = part.select(*empty(goff=F.col("p_partkey"), kind=decl, byte_size=F.when(F.col("p_size") > 49, 16).otherwise(8)), F.array(F.concat(F.lit("part"), F.col("p_partkey") % 97)).alias("spelled"))
+    g = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
+    one = line.groupBy(g.alias("g")).agg(F.min("l_partkey").alias("k"), (F.min("l_suppkey") % 3).alias("v"))
+    to = lambda at, goff: member(F.lit(at), None, T.ptr(T.base(goff)))
+    name = lambda kind: F.array(F.concat(F.lit(kind), F.col("k") % 97, F.lit("_"), "v")).alias("spelled")
+    struct = lambda goff, *ms: empty(goff=goff, kind=F.lit("struct"), byte_size=F.lit(8 * len(ms)), members=F.array(*ms))
+    lines = one.select(*struct(F.col("g") + LINE, to(0, F.col("k")), to(8, F.col("g") + USER)), name("line"))
+    users = one.select(*struct(F.col("g") + USER, to(0, F.col("g") + LINE)), name("user"))
+    every = cut(parts.union(lines).union(users))
+    merged = merge.plan_merges(every.drop("spelled"), every.select("goff", "spelled"))[0]
+    return merged.where("goff <> primary").select("goff", F.col("primary").alias("primary_goff"))
+
+
+SUPPLIER, ORDER_TYPE, CUSTOMER = 1 << 28, 1 << 29, 1 << 31  # below the goffs of primitives
+
+
+@query(f"""with l as (select l_orderkey as o, case when l_linestatus = 'O' then -1 else 0 end as t from lineitem),
+n as (select o_orderkey as o, o_custkey as c, o_orderstatus = 'F' as u, count(t) as n, count(distinct t) as kinds, min(t) as low, max(t) as high from orders left join l on o = o_orderkey group by all)
+select o as o_orderkey, c as c_custkey, case when n = 1 or (u and n > 0 and kinds = 1) then low when u and n = 2 and kinds = 2 then high else o end as became from n where c in (select c_custkey from customer)""".replace("group by all", "group by o_orderkey, o_custkey, o_orderstatus"))
+def rule_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as structs, finished ones as unions, of their line items: numbers (-1) or a supplier. Suppliers are structs of a single member in chains that end in supplier 0, which has two. What the rules make of each order, seen from the customers that point to it."""
+    line, orders, customer, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    key = F.col("s_suppkey").cast("bigint")
+    half = F.array(member(F.lit(0), None, T.prim("u16")), member(F.lit(2), None, T.prim("u16")))
+    chain = F.array(member(F.lit(0), None, T.base(F.floor(key / 2) + SUPPLIER)))
+    suppliers = supplier.select(*empty(goff=key + SUPPLIER, kind=F.lit("struct"), name=F.col("s_name"), byte_size=F.lit(4), members=F.when(key == 0, half).otherwise(chain)))
+    ty = F.when(F.col("l_linestatus") == "O", T.prim("u32")).otherwise(T.base(F.col("l_suppkey").cast("bigint") + SUPPLIER))
+    laid = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*ORDER.split(", "), ty.alias("ty")))).alias("ls"))
+    at = orders.join(laid, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("u", F.col("o_orderstatus") == "F").withColumn("n", F.coalesce(F.size("ls"), F.lit(0)))
+    at = at.withColumn("n", F.greatest("n", F.lit(0)))
+    ms = F.coalesce(F.transform("ls", lambda x, i: member(F.when(F.col("u"), 0).otherwise(4 * i), None, x["ty"])), F.array().cast(f"array<{MEMBER}>"))
+    size = F.when((F.col("n") == 0) | F.col("u"), F.when(F.col("n") == 0, 1).otherwise(4)).otherwise(4 * F.col("n"))
+    order_types = at.select(*empty(goff=F.col("o_orderkey") + ORDER_TYPE, kind=F.when(F.col("u"), "union").otherwise("struct"), name=F.concat(F.lit("o"), "o_orderkey"), byte_size=size, members=ms))
+    own = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("os"))
+    pointers = F.transform("os", lambda o, i: member(8 * i, F.concat(F.lit("o"), o), T.ptr(T.base(o.cast("bigint") + ORDER_TYPE))))
+    two = F.array_append(pointers, member(8 * F.size("os"), F.lit("end"), T.prim("u64")))  # never a single member
+    customers = customer.join(own, F.col("c_custkey") == F.col("o_custkey")).select(*empty(goff=F.col("c_custkey") + CUSTOMER, kind=F.lit("struct"), name=F.col("c_name"), byte_size=8 * F.size("os") + 8, members=two))
+    types = optimize.from_units(suppliers.union(order_types).union(customers))
+    symbols = customers.select(F.concat(F.lit("c"), "goff").alias("link_name"), T.ptr(T.base(F.col("goff"))).cast(T.TYPE).alias("ty"))
+    out = optimize.optimize(optimize.Stage(types, symbols), optimize.Rules()).types.where(f"goff >= {CUSTOMER} and goff < {T.FIRST_PRIM}")
+    m = out.select((F.col("goff") - CUSTOMER).alias("c_custkey"), F.explode("members").alias("m")).where("m.name <> 'end'")
+    to = F.col("m.ty")[0]["g"]
+    became = F.when(T.is_prim(to), -1).when(to < ORDER_TYPE, to - SUPPLIER).otherwise(to - ORDER_TYPE)
+    return m.select(F.substr("m.name", F.lit(2)).cast("bigint").alias("o_orderkey"), "c_custkey", became.cast("bigint").alias("became"))
 
 
 @query("select c_mktsegment as symbol, cast(arg_max(c_custkey * 16, c_custkey) as bigint) as addr from customer group by c_mktsegment")

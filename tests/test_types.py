@@ -139,9 +139,10 @@ def test_link(spark):
     assert set(got) == {10, 11, 12, 14} and wrong.isEmpty()
     assert [(v.idx, v.name) for v in got[10].vtable] == [(0, "~A"), (2, "f"), (3, "g")]
     assert tree(s.first().ty)[:3] == [*ptr(b(10)), *b(12)] and got[12].decl_names == []
-    assert {r.code for r in merge.merge_pairs(df, spelled(df))[1].collect()} == {"shape"}
+    assert {(r.code, r.a, r.b) for r in merge.plan_merges(df, spelled(df))[1].collect()} == {("shape", 13, 23)}
     bad = types(spark, row(1, "struct", name="A", members=[m(0, "p", b(2))]), row(2, "struct", name="X", byte_size=1), row(3, "struct", name="A", members=[m(0, "p", b(4))]), row(4, "struct", name="Y", byte_size=1))
-    assert {(r.code, r.a, r.b) for r in merge.merge_pairs(bad, spelled(bad))[1].collect()} == {("orphan", 2, 4)}
+    groups, wrong = merge.plan_merges(bad, spelled(bad))
+    assert {(r.code, r.a, r.b) for r in wrong.collect()} == {("orphan", 2, 4)} and groups.isEmpty()
 
 
 def test_symbols(spark):
