@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import resident, table
@@ -147,7 +148,9 @@ def encode_decode(docs: DataFrame, path: str, keep_texts: bool = False) -> DataF
                     out |= {"ids": [[int(y) for y in x.split(b",") if y] for x in ids], "decoded": [x.decode() for x in text]}
                 yield pd.DataFrame(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_texts)
+    # doc_id as text: pandas would make doubles of ids beside a null
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_texts)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, width) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    # as text: pandas would make doubles of ids beside a null
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, fp long")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -97,5 +99,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see near_duplicates() for nulls and repeats. Rows without doc_id take part, and give a component no name but where it has none else."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import resident, table
 
@@ -78,8 +79,11 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 got = counter.counts(list(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_words": [x[0] for x in got], "n_tokens": [x[1] for x in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    # doc_id as text: pandas would make doubles of ids beside a null
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_words long, n_tokens long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of every document; null doc_ids and repeated rows stay, see token_counts()."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -145,3 +145,19 @@ def test_recall_of_links_near_the_threshold(spark):
     found = [i for i in planted if got[i + 1][1] == i and got[i][0] == 1]
     assert len(planted) == 540 and len(found) >= 0.97 * len(planted)
     assert sum(n for n, _ in got.values()) == 2 * len(found)
+
+
+def test_null_ids_beside_large_ones(spark):
+    """A batch that holds a null id keeps the others whole: 2 ** 60 + 1 is no double."""
+    from graphloom.llm import bpe, tokencount
+
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "one two three", 1), (None, "one two four", 2), (None, None, 3)], "doc_id long, text string, fp long").coalesce(1)
+    path = public_tokenizers.path
+    for out in (bpe.encode_decode(df, path("byte_bpe_50k.json")), tokencount.token_counts(df, path("piece_bpe_32k.model")), simhash.near_duplicates(df), simhash.fingerprints(df)):
+        assert sorted((r.doc_id for r in out.collect()), key=str) == [big, None, None]
+    assert {r.component_id for r in simhash.near_duplicates(df).where(f"doc_id = {big}").collect()} == {big}
+    none = df.limit(0)
+    assert [bpe.encode_decode(none, path("byte_bpe_50k.json")).count(), tokencount.token_counts(none, path("piece_bpe_32k.model")).count(), simhash.near_duplicates(none).count()] == [0, 0, 0]
+    rows = spark.createDataFrame([(big, PASSAGE, "en", "s", 1), (None, "other", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert sorted((r.doc_id for r in cp.encoded(spark, cp.without_repeats(spark, cp.one_of_each_group(spark, rows, ""), ""), "").collect()), key=str) == [big, None]
