@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,34 +61,107 @@ def fingerprint(types: DataFrame, config_hash: str) -> DataFrame:
 
 
 class StageCache:
-    """Outputs of a stage by unit under a folder, with the print of the input that each came from."""
+    """Outputs of a stage by unit under a folder, with the print of the input that each came from.
+
+    A save writes a part of its own, rows and prints, and then one commit file that names all parts in order; a unit's
+    last part counts. What isn't named by the last commit isn't there, so a run that dies in between changes nothing.
+    Commits are numbered and never replaced: of two writers that take the same number one gets it, and the other puts
+    its part behind. Parts beyond MOST_PARTS are put together. Old parts stay until vacuum(), for readers that still
+    hold an older version.
+    """
+
+    MOST_PARTS = 16
 
     def __init__(self, spark: SparkSession, path: str, config_hash: str):
         self.spark, self.path, self.hash = spark, path, config_hash
 
-    def _stored(self, what: str) -> DataFrame | None:
+    def _at(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def version(self) -> tuple[int, list[dict]]:
+        """Number of the last commit, and its parts; 0 and none before the first."""
+        fs, at = self._at("commits")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        names = [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+        if not names:
+            return 0, []
+        text = self.spark.read.text(f"{self.path}/commits/{names[-1]}", wholetext=True).first()[0]
+        return int(names[-1].removesuffix(".json")), json.loads(text)
+
+    def _commit(self, n: int, parts: list[dict]) -> bool:
+        """Whether commit n is this one; False if another writer was first."""
+        own, jvm = uuid.uuid4().hex, self.spark._jvm
+        fs, new = self._at(f"commits/_{own}")
+        out = fs.create(new)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        _, to = self._at(f"commits/{n:012d}.json")
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            return self.spark.read.parquet(f"{self.path}/{what}")
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(to), none)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+            if "FileAlreadyExists" not in str(e):
+                raise
+            fs.delete(new, False)
+            return False
+        return True
+
+    def _read(self, parts: list[dict], what: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{p['name']}/{what}").withColumn("seq", F.lit(i)) for i, p in enumerate(parts)])
+
+    def _last(self, parts: list[dict]) -> DataFrame:
+        """(cu, print, seq) of each unit's last part."""
+        return self._read(parts, "prints").groupBy("cu").agg(F.max_by("print", "seq").alias("print"), F.max("seq").alias("seq"))
+
+    def _write(self, prints: DataFrame, outputs: DataFrame, batch: str | None) -> dict:
+        part = {"name": f"part-{uuid.uuid4().hex}", "batch": batch}
+        outputs.write.parquet(f"{self.path}/{part['name']}/rows")
+        prints.write.parquet(f"{self.path}/{part['name']}/prints")
+        return part
 
     def lookup(self, types: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         """Outputs of the units that haven't changed, with this run's goffs, and the rows of those that have."""
         plain, number = normalised(types)
-        prints, old = cut(fingerprint(plain, self.hash)), self._stored("prints")
-        if old is None:
+        _, parts = self.version()
+        if not parts:
             return None, types
-        hits = cut(prints.join(old.select("cu", "print"), ["cu", "print"], "left_semi").select("cu"))
-        out = restored(self._stored("rows").join(hits, "cu", "left_semi"), number)
+        prints = cut(fingerprint(plain, self.hash))
+        hits = cut(prints.join(self._last(parts), ["cu", "print"]).select("cu", "seq"))
+        out = restored(self._read(parts, "rows").join(hits, ["cu", "seq"], "left_semi").drop("seq"), number)
         return out, types.join(hits, "cu", "left_anti")
 
-    def save(self, types: DataFrame, outputs: DataFrame) -> None:
-        """Keeps outputs of the units that types has; outputs refer to types' goffs only."""
+    def save(self, types: DataFrame, outputs: DataFrame, batch: str | None = None) -> None:
+        """Keeps outputs of the units that types has; outputs refer to types' goffs only. A batch that the last commit names is not saved again."""
+        n, parts = self.version()
+        if batch is not None and any(p["batch"] == batch for p in parts):
+            return
         plain, number = normalised(types)
-        cut(fingerprint(plain, self.hash)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cu").parquet(f"{self.path}/prints")
-        _through(outputs, number, "goff", "idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cu").parquet(f"{self.path}/rows")
+        part = self._write(fingerprint(plain, self.hash), _through(outputs, number, "goff", "idx"), batch)
+        while not self._commit(n + 1, [*parts, part]):
+            n, parts = self.version()
+            if batch is not None and any(p["batch"] == batch for p in parts):
+                return
+        if len(parts) >= self.MOST_PARTS:
+            self.compact()
+
+    def compact(self) -> None:
+        """All units' last parts as one; another writer's commit in between comes first, and this one is left out."""
+        n, parts = self.version()
+        if len(parts) < 2:
+            return
+        last = cut(self._last(parts))
+        rows_ = self._read(parts, "rows").join(last.select("cu", "seq"), ["cu", "seq"], "left_semi").drop("seq")
+        self._commit(n + 1, [self._write(last.drop("seq"), rows_, parts[-1]["batch"])])
+
+    def vacuum(self) -> None:
+        """Removes parts that the last commit doesn't name; nobody may be reading or writing."""
+        _, parts = self.version()
+        fs, at = self._at("")
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            if name.startswith("part-") and name not in {p["name"] for p in parts}:
+                fs.delete(s.getPath(), True)
 
     def hits(self, types: DataFrame) -> tuple[int, int]:
         """Unchanged units, and all."""

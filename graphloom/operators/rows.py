@@ -53,7 +53,7 @@ def tokens(df: DataFrame, with_names: bool = True) -> Column:
         parts.append(F.coalesce(F.flatten(F.transform("vtable", lambda v: F.flatten(v["fn"]))), none))
     if with_names and "fqnames" in df.columns:
         parts.append(F.coalesce(F.flatten(F.transform("fqnames", lambda n: of_args(n["targs"]))), none))
-    return F.concat(*parts)
+    return F.concat(none, *parts)
 
 
 def goffs(df: DataFrame) -> Column:

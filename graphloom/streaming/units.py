@@ -17,12 +17,12 @@ def follow(types: DataFrame, cache: StageCache, stage: Callable[[DataFrame], Dat
     units unchanged or replaces them.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
         try:
             _, changed = cache.lookup(batch)
             if not changed.isEmpty():
-                cache.save(changed, stage(changed))
+                cache.save(changed, stage(changed), f"{checkpoint}#{n}")
         finally:
             batch.unpersist()
 

@@ -315,3 +315,25 @@ def test_cache(spark, tmp_path):
     plain, number = cache.normalised(first)
     assert sorted(cache.restored(plain, number).collect(), key=str) == sorted(first.collect(), key=str)
     assert spark.range(1).select(cache.cache_key(F.lit("/a/b.cpp"))).first()[0].startswith("b.cpp_")
+
+
+def test_cache_after_a_crash_and_beside_a_writer(spark, tmp_path, monkeypatch):
+    one = lambda size, cu=0: types(spark, row(100 + cu, "struct", name="A", byte_size=size, cu=cu)).select("cu", "goff", "kind", "name", "byte_size")
+    c = cache.StageCache(spark, str(tmp_path), "h")
+    c.save(one(4), one(4))
+    real = c._commit
+    monkeypatch.setattr(c, "_commit", lambda n, parts: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        c.save(one(99), one(99))  # dies with rows and prints written
+    again = cache.StageCache(spark, str(tmp_path), "h")
+    assert again.hits(one(99)) == (0, 1) and again.lookup(one(4))[0].first().byte_size == 4
+    # another writer takes the number first: both are there
+    monkeypatch.setattr(c, "_commit", lambda n, parts: (monkeypatch.setattr(c, "_commit", real), again.save(one(8, 1), one(8, 1)), real(n, parts))[2])
+    c.save(one(99), one(99), "b1")
+    assert c.hits(one(99).union(one(8, 1))) == (2, 2) and c.hits(one(4)) == (0, 1) and c.version()[0] == 3
+    c.save(one(99), one(5), "b1")  # the same batch
+    assert c.version()[0] == 3 and c.lookup(one(99))[0].first().byte_size == 99
+    c.compact()
+    c.vacuum()
+    assert len(c.version()[1]) == 1 and c.hits(one(99).union(one(8, 1))) == (2, 2)
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("part-")]) == 1
