@@ -232,6 +232,9 @@ def together(st: Stage, go: DataFrame) -> Stage:
     left = types.join(by.select("goff"), "goff", "left_anti").join(given, "goff", "left")
     left = left.withColumn("fqnames", F.concat(F.coalesce("fqnames", F.array().cast(kind)), F.coalesce("given", F.array().cast(kind)))).drop("given")
     to = direct.select("goff", rows.single_base(F.col("tree")).alias("base")).where(F.col("base") < trees.FIRST_PRIM)
+    # names of a base that ends in a tree are lost with it, so only what goes before it is derived from them
+    ends = by.select(F.col("goff").alias("base"), F.coalesce(rows.single_base(F.col("tree")) < trees.FIRST_PRIM, F.lit(False)).alias("named"))
+    to = to.join(ends, "base", "left").where(F.coalesce(F.col("named"), F.lit(True)) | (F.col("goff") < F.col("base"))).select("goff", "base")
     lower = types.join(to, "goff").select("base", F.explode("fqnames").alias("d")).select("base", F.to_json("d").alias("derived"))
     upper = types.select(F.col("goff").alias("base"), F.explode("fqnames").alias("b")).select("base", F.to_json("b").alias("name"))
     edge = lower.join(upper, "base").select("derived", F.col("name").alias("base"))
