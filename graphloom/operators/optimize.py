@@ -214,8 +214,8 @@ def together(st: Stage, go: DataFrame) -> Stage:
     """All of go (goff, to) give way at once, to what their trees are once composed; those with an empty tree become empty structs.
 
     A class of a pointer to member that would become a tree is an error where such a pointer is left. Names of types that end in a named type go to that, their own before others'. derived has a row for a name and each
-    name of the type that stood for its type directly; pairs that follow through that one, or from a name that it had
-    been given in this batch, aren't written out.
+    own name of the type that stood for its type directly; pairs that follow through that one, or from names that it
+    had been given, aren't written out.
     """
     empty = go.where("size(to) = 0").select("goff", F.lit(True).alias("empty"))
     direct = cut(go.where("size(to) > 0").select("goff", F.col("to").alias("tree")))
@@ -237,6 +237,8 @@ def together(st: Stage, go: DataFrame) -> Stage:
     to = to.join(ends, "base", "left").where(F.coalesce(F.col("named"), F.lit(True)) | (F.col("goff") < F.col("base"))).select("goff", "base")
     lower = types.join(to, "goff").select("base", F.explode("fqnames").alias("d")).select("base", F.to_json("d").alias("derived"))
     upper = types.select(F.col("goff").alias("base"), F.explode("fqnames").alias("b")).select("base", F.to_json("b").alias("name"))
+    if st.derived is not None:  # a base's own names only, not those that it was given
+        upper = upper.join(st.derived.select(F.col("derived").alias("name")).distinct(), "name", "left_anti")
     edge = lower.join(upper, "base").select("derived", F.col("name").alias("base"))
     derived = cut(edge if st.derived is None else st.derived.union(edge))
     spelling.name_graph(derived)
