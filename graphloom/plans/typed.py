@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, templates
 from ..functions import trees as T
-from ..operators import dies, merge, optimize, rows, spelling
+from ..operators import dies, merge, optimize, rows, rule_index, spelling
 from ..sources.tables import symbol_rows, table
 from .catalogue import CHAIN, LIST, ORDER, query
 from .fixpoint import cut
@@ -217,3 +217,14 @@ def symbol_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("0x"), F.hex((F.col("c_custkey") * 16 + 4096).cast("bigint")), F.lit(",x, "), "c_mktsegment")
     lines = c.select(F.col("c_custkey").alias("at"), line.alias("value")).union(c.select("c_custkey", F.lit("0x2000,x, ")))
     return symbol_rows(lines, 0, 2, 4096)[0]
+
+
+@query("""with p as (select o_orderkey as pos, o_custkey as k, o_orderkey % 10 as d from orders)
+select c_custkey, min(pos) as first_rule from customer left join p on k = c_custkey and c_nationkey % 10 = d and c_mktsegment in ('BUILDING', 'MACHINERY') group by c_custkey""")
+def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as patterns over customers' names: the first pattern found in each name, through the index of n-grams."""
+    s = lambda c: F.col(c).cast("string")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), s("c_custkey"), F.lit("::"), "c_mktsegment", F.lit("<"), s("c_nationkey"), F.lit(">")).alias("name"))
+    pattern = F.concat(F.lit("^c"), s("o_custkey"), F.lit("::(?:BUILDING|MACHINERY)<\\d*"), (F.col("o_orderkey") % 10).cast("string"), F.lit(">$"))
+    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), pattern.alias("pattern"))
+    return customer.join(rule_index.first_matches(customer, rules), "name").select("c_custkey", F.col("pos").alias("first_rule"))
