@@ -154,19 +154,38 @@ def single_base(tree: Column) -> Column:
     return F.when((F.size(tree) == 1) & (F.get(tree, F.lit(0))["op"] == "BASE"), F.get(tree, F.lit(0))["g"])
 
 
-def resolved_aliases(types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(goff, to) of aliases, trees of a single type, and typedefs that end in a tree or a primitive, which lose their names; and (goff, root) of all rows through aliases and typedefs."""
+def alias_steps(types: DataFrame) -> DataFrame:
+    """(k, nxt) of aliases, typedefs and trees of a single type; primitives that they name have rows too."""
     step = F.when(F.col("kind").isin("alias", "typedef"), F.col("target")).otherwise(F.when(F.col("kind") == "tree", single_base(F.col("tree"))))
-    nodes = types.select(F.col("goff").alias("k"), step.alias("nxt"))
+    return _with_prims(types.select(F.col("goff").alias("k"), step.alias("nxt")))
+
+
+def _with_prims(nodes: DataFrame) -> DataFrame:
     prims = nodes.where(trees.is_prim(F.col("nxt"))).select(F.col("nxt").alias("k"), F.lit(None).cast("bigint").alias("nxt")).distinct()
-    nodes = cut(nodes.union(prims.join(nodes.select("k"), "k", "left_anti")))
-    roots = fixpoint.resolve(nodes).select(F.col("k").alias("goff"), "root")
+    return cut(nodes.union(prims.join(nodes.select("k"), "k", "left_anti")))
+
+
+def alias_errors(types: DataFrame) -> DataFrame:
+    """(goff, cycle, error) of aliases, typedefs and trees of a single type that end nowhere; cycle: the least goff of the cycle they run into."""
+    return fixpoint.resolve_rows(alias_steps(types)).where("cycle is not null").select(F.col("k").alias("goff"), "cycle", F.lit("alias cycle").alias("error"))
+
+
+def resolved_aliases(types: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(goff, to) of aliases, trees of a single type, and typedefs that end in a tree or a primitive, which lose their names; and (goff, root) of all rows through aliases and typedefs.
+
+    Rows that run into a cycle are an error; with strict off they are in neither, and in alias_errors.
+    """
+    nodes = alias_steps(types)
+    at = fixpoint.resolve_rows(nodes)
+    if strict and (bad := at.where("cycle is not null").first()):
+        raise ValueError(f"{bad['k']} runs into a cycle of aliases through {bad['cycle']}")
+    roots = at.where("cycle is null").select(F.col("k").alias("goff"), "root")
     kinds = types.select(F.col("goff").alias("root"), F.col("kind").alias("root_kind"))
     ends = roots.join(kinds, "root", "left").withColumn("plain", trees.is_prim(F.col("root")) | F.coalesce(F.col("root_kind").isin("tree", "prim"), F.lit(False)))
     lost = types.where("kind = 'typedef'").join(ends.where("plain").select("goff"), "goff", "left_semi").select("goff", F.lit(True).alias("lost"))
-    edges = types.join(lost, "goff", "left").select(F.col("goff").alias("k"), F.when((F.col("kind") != "typedef") | F.col("lost"), step).alias("nxt"))
-    edges = cut(edges.union(prims.join(edges.select("k"), "k", "left_anti")))
-    to = fixpoint.resolve(edges).where("k <> root").select(F.col("k").alias("goff"), F.col("root").alias("to"))
+    steps = nodes.join(types.where("kind = 'typedef'").select(F.col("goff").alias("k"), F.lit(True).alias("named")), "k", "left").join(lost.withColumnRenamed("goff", "k"), "k", "left")
+    edges = cut(steps.select("k", F.when(F.col("named").isNull() | F.col("lost"), F.col("nxt")).alias("nxt")))
+    to = fixpoint.resolve_rows(edges).where("cycle is null and k <> root").select(F.col("k").alias("goff"), F.col("root").alias("to"))
     return cut(to), cut(roots)
 
 
@@ -193,14 +212,32 @@ def typedef_names(types: DataFrame) -> DataFrame:
 
 
 def enum_sizes(types: DataFrame) -> DataFrame:
-    """(goff, byte_size, error) of enums: their own size, else that of the type they are based on, through aliases and enums."""
+    """(goff, byte_size, error) of enums: their own size, else that of the type they are based on, through aliases and enums.
+
+    A cycle of bases and a base without a size are error rows; the other enums have their sizes.
+    """
     nxt = F.when(F.col("kind").isin("alias", "typedef"), F.col("target")).when((F.col("kind") == "enum") & F.col("byte_size").isNull(), F.col("base_goff"))
-    nodes = types.select(F.col("goff").alias("k"), nxt.alias("nxt"))
-    prims = nodes.where(trees.is_prim(F.col("nxt"))).select(F.col("nxt").alias("k"), F.lit(None).cast("bigint").alias("nxt")).distinct()
-    roots = fixpoint.resolve(cut(nodes.union(prims.join(nodes.select("k"), "k", "left_anti"))))
+    roots = fixpoint.resolve_rows(_with_prims(types.select(F.col("goff").alias("k"), nxt.alias("nxt"))))
     known = sizes(types).withColumnRenamed("goff", "root")
     got = roots.join(known, "root", "left").join(types.where("kind = 'enum'").select(F.col("goff").alias("k")), "k", "left_semi")
-    return got.select(F.col("k").alias("goff"), F.col("size").alias("byte_size"), F.when(F.col("size").isNull(), "no size").alias("error"))
+    error = F.when(F.col("cycle").isNotNull(), "size cycle").when(F.col("size").isNull(), "no size")
+    return got.select(F.col("k").alias("goff"), F.col("size").alias("byte_size"), error.alias("error"))
+
+
+def union_errors(types: DataFrame, pointer: int = 8, data_member: int = 8, function_member: int = 16) -> DataFrame:
+    """(goff, byte_size, largest, error) of unions that aren't as large as their largest member; a member whose type has no size is an error too.
+
+    A member's size goes through aliases, typedefs and enums; bit fields count as their types.
+    """
+    nxt = F.when(F.col("kind").isin("alias", "typedef"), F.col("target")).when((F.col("kind") == "enum") & F.col("byte_size").isNull(), F.col("base_goff"))
+    roots = fixpoint.resolve_rows(_with_prims(types.select(F.col("goff").alias("k"), nxt.alias("nxt")))).where("cycle is null")
+    known = roots.join(sizes(types).withColumnRenamed("goff", "root"), "root").select(F.col("k").alias("goff"), "size")
+    known = known.union(sizes(types).join(known.select("goff"), "goff", "left_anti"))
+    unions = types.where("kind = 'union'").select("goff", "byte_size", F.posexplode("members").alias("at", "m")).select("goff", "byte_size", "at", F.col("m.ty").alias("ty"))
+    sized = tree_sizes(unions, "ty", ["goff", "at"], cut(known), pointer, data_member, function_member)
+    each = sized.groupBy("goff").agg(F.first("byte_size").alias("byte_size"), F.max("tree_size").alias("largest"), F.count_if(F.col("tree_size").isNull()).alias("unsized"))
+    error = F.when(F.col("unsized") > 0, "member without a size").when(~F.col("byte_size").eqNullSafe(F.col("largest")), "not as large as its largest member")
+    return each.select("goff", "byte_size", "largest", error.alias("error")).where("error is not null")
 
 
 def sizes(types: DataFrame) -> DataFrame:

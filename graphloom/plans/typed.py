@@ -228,3 +228,18 @@ def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = F.concat(F.lit("^c"), s("o_custkey"), F.lit("::(?:BUILDING|MACHINERY)<\\d*"), (F.col("o_orderkey") % 10).cast("string"), F.lit(">$"))
     rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), pattern.alias("pattern"))
     return customer.join(rule_index.first_matches(customer, rules), "name").select("c_custkey", F.col("pos").alias("first_rule"))
+
+
+@query("""with recursive n as (select p_partkey k, case when p_size < 45 then p_partkey - p_partkey % 16 + ((p_partkey % 16) * (p_partkey % 16) + 1 + (p_partkey // 16) % 7) % 16 end nxt from part),
+w as (select k, k as v, 0 as step from n union all select w.k, n.nxt, step + 1 from w join n on n.k = w.v where n.nxt is not null and step < 48),
+e as (select k, max(step) = 48 as bad, arg_max(v, step) as root, min(case when step >= 16 then v end) as cycle from w group by k)
+select k, case when not bad then root end as root, case when bad then cycle end as cycle, case when bad then 'alias cycle' end as error from e""")
+def alias_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as aliases within blocks of 16, some of which run into cycles: those are error rows, the others have their root."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("goff"), "p_size")
+    at = F.col("goff") % 16
+    target = F.col("goff") - at + (at * at + 1 + F.floor(F.col("goff") / 16) % 7) % 16
+    types = part.select("goff", F.when(F.col("p_size") < 45, "alias").otherwise("struct").alias("kind"), F.when(F.col("p_size") < 45, target).alias("target"), F.lit(None).cast(T.TYPE).alias("tree"))
+    roots = rows.resolved_aliases(types, strict=False)[1].join(types.select("goff"), "goff", "left_semi")
+    good = roots.select(F.col("goff").alias("k"), "root", F.lit(None).cast("bigint").alias("cycle"), F.lit(None).cast("string").alias("error"))
+    return good.union(rows.alias_errors(types).select(F.col("goff").alias("k"), F.lit(None).cast("bigint"), "cycle", "error"))

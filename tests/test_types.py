@@ -1,10 +1,13 @@
 """Fixtures of types and entries: loading, aliases, flattening, dedupe, linking, rules, cache."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import trees as T
 from graphloom.operators import cache, dies, merge, optimize, rows, spelling
+from graphloom.plans import fixpoint
 
 G = {p[0]: p[3] for p in T.PRIMS}
 U8, U32, U64, VOID = G["u8"], G["u32"], G["u64"], G["void"]
@@ -70,6 +73,44 @@ def test_enum_sizes(spark):
     assert got == {1: (2, None), 2: (8, None), 4: (2, None), 5: (None, "no size")}
 
 
+def test_cycles_are_rows(spark):
+    df = types(spark, row(1, "alias", target=2), row(2, "alias", target=1), row(3, "typedef", name="T", target=2), row(4, "alias", target=9), row(5, "enum", base_goff=6), row(6, "enum", base_goff=5), row(7, "enum", base_goff=9), row(9, "enum", byte_size=4))
+    assert {tuple(r) for r in rows.alias_errors(df).collect()} == {(g, 1, "alias cycle") for g in (1, 2, 3)}
+    to, roots = rows.resolved_aliases(df, strict=False)
+    assert {tuple(r) for r in to.collect()} == {(4, 9)} and {r.goff: r.root for r in roots.collect()}[4] == 9
+    with pytest.raises(ValueError, match="cycle"):
+        rows.resolved_aliases(df)
+    assert {tuple(r) for r in rows.enum_sizes(df).collect()} == {(5, None, "size cycle"), (6, None, "size cycle"), (7, 4, None), (9, 4, None)}
+
+
+def test_random_walks(spark):
+    """Roots and cycles of random graphs against a walk from each node; a chain and a cycle longer than any power that a round starts with."""
+    rng = random.Random(5)
+    steps = {k: rng.choice([None, *range(400)]) if k % 7 else rng.randrange(900) for k in range(300)}
+    steps |= {1000 + i: 1000 + (i + 1) % 77 for i in range(77)} | {2000 + i: 2001 + i if i < 5000 else None for i in range(5001)} | {8000 + i: 8001 + i for i in range(40)} | {8040: 1005}
+
+    def walk(k):
+        seen = []
+        while k not in seen:
+            seen.append(k)
+            nxt = steps.get(k)
+            if nxt is None:
+                return k, len(seen) - 1, None
+            k = nxt
+        return None, None, min(seen[seen.index(k) :])
+
+    got = {r.k: (r.root, r.hops, r.cycle) for r in fixpoint.resolve_rows(spark.createDataFrame(list(steps.items()), "k long, nxt long")).collect()}
+    assert len(got) == len(steps)
+    assert got == {k: (7000, 7000 - k, None) if 2000 <= k <= 7000 else walk(k) for k in steps}
+    assert fixpoint.resolve_rows(spark.createDataFrame([], "k long, nxt long")).count() == 0
+
+
+def test_union_errors(spark):
+    ok = [m(0, "a", b(U64)), m(0, "b", ptr(b(9))), m(0, "c", b(3))]
+    df = types(spark, row(1, "union", byte_size=8, members=ok), row(2, "union", byte_size=16, members=ok), row(3, "enum", base_goff=4), row(4, "alias", target=U32), row(5, "union", byte_size=8, members=[*ok, m(0, "d", b(9))]), row(9, "struct_decl"), row(10, "union", byte_size=4, members=[m(0, "a", b(3))]))
+    assert {(r.goff, r.largest, r.error) for r in rows.union_errors(df).collect()} == {(2, 8, "not as large as its largest member"), (5, 8, "member without a size")}
+
+
 def test_flatten(spark):
     sub = [*b(U32), *b(U8), ("SUB", None, 2, None)]
     df = types(
