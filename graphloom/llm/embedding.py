@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ FEWEST = 3  # vertices of a bucket
 ROOM = 16  # buckets there are for each vector, at least
 CHUNK = 512  # members of a bucket that one block takes of one side
 STEP = 1 << 15  # pairs that are compared at once
+FLAT = 3  # dimensions up to which cells of a grid stand for hashed buckets
+NO_BUCKET = -(1 << 63)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,6 +71,19 @@ def codes(unit: np.ndarray, vertices: int = FEWEST, tables: int = 10, seed: int
     return home, probe
 
 
+def cells(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, probe) cell of each row in a grid as wide as linked vectors can lie apart; a table for each neighbour in half of the directions.
+
+    So a linked pair shares a cell or one of the two probes the other's, and none is missed.
+    """
+    width = max(np.sqrt(max(2 - 2 * least, 0.0)) * 1.001, 2.0**-18)
+    dim = unit.shape[1]
+    sides = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o > (0,) * dim]
+    at = np.floor(unit / width).astype(np.int64) + (1 << 19)
+    key = lambda c: c @ (np.int64(1) << (20 * np.arange(dim, dtype=np.int64)))
+    return np.repeat(key(at)[:, None], len(sides), axis=1), np.stack([key(at + np.array(o)) for o in sides], axis=1)
+
+
 def _pairs(first: np.ndarray, last: np.ndarray, chunk: np.ndarray, cross: np.ndarray):
     """Row numbers (x, y), x < y, of the pairs of each group [first, last), about STEP at a time; of cross groups, pairs of two chunks."""
     n = last - first
@@ -140,14 +156,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     non-finite component have no link. Equal vectors of a label are one member with a count. Buckets grow in
     number with the vectors, and so do the tables. Large buckets are compared in blocks of two chunks, which give
     counts and a spanning forest, not pairs. Rows with one vec_id count as one vector; if their vectors or labels
-    differ, each is compared. Other columns are ignored; an empty table gives no rows.
+    differ, each is compared. Vectors of at most three dimensions are met in cells of a grid, which misses no link. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     fine = F.col("label").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0)
     good = cut(rows.where(fine))
     one = cut(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    total = one.agg(F.count("*").alias("n"), F.min(F.size("e")).alias("d")).first()
-    vertices, tables = shape(total["n"], total["d"] or 1)
+    total = one.agg(F.count("*").alias("n"), F.min(F.when(F.size("e") > FLAT, F.size("e"))).alias("d"), F.max(F.when(F.size("e") <= FLAT, F.size("e"))).alias("flat")).first()
+    vertices, hashes = shape(total["n"], total["d"] or 1)
+    tables = max(hashes if total["d"] or not total["n"] else 0, (3 ** (total["flat"] or 0) - 1) // 2, 1)
+
+    def filled(x: np.ndarray) -> list[np.ndarray]:
+        return list(np.pad(x, ((0, 0), (0, tables - x.shape[1])), constant_values=NO_BUCKET))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -155,13 +175,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 x = np.stack(part["e"].to_numpy())
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                home, probe = codes(x, vertices, tables)
-                yield pd.DataFrame({"label": part["label"] + f"/{d}", "rep": part["rep"], "n": part["n"], "unit": list(x), "home": list(home), "probe": list(probe)})
+                home, probe = cells(x, least) if d <= FLAT else codes(x, vertices, hashes)
+                yield pd.DataFrame({"label": part["label"] + f"/{d}", "rep": part["rep"], "n": part["n"], "unit": list(x), "home": filled(home), "probe": filled(probe)})
 
     coded = cut(one.mapInPandas(hashed, "label string, rep long, n long, unit array<double>, home array<long>, probe array<long>"))
     place = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.array(
         F.struct(t.alias("t"), F.get("home", t).alias("key"), F.lit(True).alias("is_home")), F.struct(t.alias("t"), F.get("probe", t).alias("key"), F.lit(False).alias("is_home"))))))
-    placed = coded.select("label", "rep", place.alias("p")).select("label", "rep", "p.*")
+    placed = coded.select("label", "rep", place.alias("p")).select("label", "rep", "p.*").where(F.col("key") != NO_BUCKET)
     sizes = placed.groupBy("label", "t", "key").agg(F.count("*").alias("m"), F.max("is_home").alias("any")).where("m > 1 and any").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")).select("label", "t", "key", "chunks")
     dealt = placed.join(sizes, ["label", "t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     other = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

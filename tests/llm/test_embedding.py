@@ -42,3 +42,32 @@ def test_links(spark, monkeypatch):
         assert [r.component_id for r in got.values()] == [root[i] for i in got]
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embedding.near_vectors(spark.createDataFrame([], V)).count() == 0
+
+
+def test_few_dimensions_miss_nothing(spark, monkeypatch):
+    """One to three dimensions beside eight, in one table: every link is found, also in blocks of chunks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=[1, 2, 3, 3, 8][i % 5]).tolist(), int(i % 3 == 0), 0) for i in range(500)]
+    rows += [(1000 + i, [1.0, x, 0.0][: 2 + i % 2], 1, 0) for i, x in enumerate([0.2, 0.2, -0.2, 0.0, 0.0, 1e-9, 5.0, 5.0])]
+    links, root = brute(rows)
+    for chunk in (512, 7):
+        monkeypatch.setattr(embedding, "CHUNK", chunk)
+        got = {r.vec_id: r for r in embedding.near_vectors(spark.createDataFrame(rows, V)).collect()}
+        few = [r[0] for r in rows if len(r[1]) < 4]
+        assert [(got[i].n_links, got[i].component_id) for i in few] == [(links[i], root[i]) for i in few]
+    flat = [r for r in rows if len(r[1]) == 2]
+    assert {r.vec_id: r.n_links for r in embedding.near_vectors(spark.createDataFrame(flat, V)).collect()} == {r[0]: brute(flat)[0][r[0]] for r in flat}
+
+
+def test_recall_by_dimension():
+    """Pairs at cosine 0.9805 that meet in some table, for each number of dimensions that is hashed from few on."""
+    rng = np.random.default_rng(9)
+    for dim in (4, 5, 6, 7, 8, 16):
+        vertices, tables = embedding.shape(600, dim)
+        a = rng.normal(size=(600, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=(600, dim))
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9805 * a + np.sqrt(1 - 0.9805**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (ha, pa), (hb, pb) = embedding.codes(a, vertices, tables), embedding.codes(b, vertices, tables)
+        assert ((ha == hb) | (pa == hb) | (ha == pb)).any(axis=1).mean() >= 0.95, dim

@@ -1,6 +1,7 @@
 """SimHash groups and URL verdicts against brute force."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -66,3 +67,30 @@ def test_urls(spark):
     want = con.execute(urlfilter.SQL).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert [got.count(), dict((r.page_id, r.rule) for r in got.collect())[5]] == [len(urls), "www.example.com/en/"]
+
+
+def test_many_url_rules(spark, monkeypatch):
+    """20,000 rules, which are joined, and a few on both ways, against every rule on every url."""
+    rng = random.Random(2)
+    hosts = [".".join(rng.choices(["a", "b", "com", "net", "x-y", "shop"], k=rng.randint(1, 4))) for _ in range(400)]
+    urls = [f"http://{h.upper() if i % 3 else h}/{rng.choice(['en/', 'en', 'fr/a?b', '', '#c'])}" for i, h in enumerate(hosts)] + [None, "", "no scheme", "x://", "http://a.com/(", "http://a.com/("]
+    pages = spark.createDataFrame([(None if i % 50 == 0 else i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, best string")
+    rules = [urlfilter.host_rule(rng.choice(["allow", "block"]), f"{h}/{p}") for h in sorted(set(hosts))[:40] for p in ("", "e")]
+    patterns = [urlfilter.Rule("odd", "block", r"/.*\(", ()), *urlfilter.PATTERNS]
+    many = rules + [urlfilter.host_rule("block", f"h{i}.org/") for i in range(20_000)]
+
+    def plain(u):
+        rest = re.match(r"[^?#]*", u.split("://", 1)[1])[0] if u and "://" in u else ""
+        host, slash, path = rest.partition("/")
+        url = host.lower() + slash + path
+        fits = [(len(r.name), r.name, r.verdict) for r in rules if re.search(r.regex, url)]
+        _, name, verdict = max(fits, default=(0, None, "block" if any(re.search(p.regex, url) for p in patterns) else "allow"))
+        return host.lower(), slash + path, name, verdict
+
+    want = sorted(((p.page_id, *plain(p.url)) for p in pages.collect()), key=str)
+    got = urlfilter.judge(pages, many, patterns).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    assert sorted(map(tuple, urlfilter.judge(pages, rules, patterns).collect()), key=str) == want
+    monkeypatch.setattr(urlfilter, "LITERALS", 1000)
+    assert sorted(map(tuple, urlfilter.judge(pages, rules, patterns).collect()), key=str) == want
+    assert urlfilter.judge(pages.limit(0), many, patterns).count() == 0
