@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, templates
 from ..functions import trees as T
-from ..operators import dies, merge, optimize, rows, rule_index, spelling
+from ..operators import dies, factored, merge, optimize, rows, rule_index, spelling
 from ..sources.tables import symbol_rows, table
 from .catalogue import CHAIN, LIST, ORDER, query
 from .fixpoint import cut
@@ -243,3 +243,25 @@ def alias_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = rows.resolved_aliases(types, strict=False)[1].join(types.select("goff"), "goff", "left_semi")
     good = roots.select(F.col("goff").alias("k"), "root", F.lit(None).cast("bigint").alias("cycle"), F.lit(None).cast("string").alias("error"))
     return good.union(rows.alias_errors(types).select(F.col("goff").alias("k"), F.lit(None).cast("bigint"), "cycle", "error"))
+
+
+@query("""select o_orderkey, cast(coalesce(2 + cast(c_mktsegment = 'BUILDING' as int), 0) as bigint) as n, coalesce(c_mktsegment = 'BUILDING' or o_orderkey % 2 = 1, false) as found
+from orders left join customer on c_custkey = o_custkey""")
+def name_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as templates over customers, who stand in their nation as a namespace with two names: numbers of spellings, and whether a given one is among them."""
+    s = lambda c: F.col(c).cast("string")
+    nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    seg = F.array(F.struct(F.lit("Type").alias("k"), F.col("c_nationkey").cast("bigint").alias("goff"), F.lit("").alias("s"), F.lit(False).alias("is_linkage"))).cast(names.SEGMENTS)
+    no_space, no_targs, no_more = F.array().cast(names.SEGMENTS), F.array().cast(f"array<{dies.TARG}>"), F.array().cast("array<string>")
+    row = lambda df, goff, name, ns, targs, more: df.select(goff.cast("bigint").alias("goff"), name.alias("name"), ns.alias("name_ns"), targs.alias("targs"), more.alias("decl_names"))
+    alias = F.concat(F.lit("alias_"), s("c_custkey"))
+    spaces = row(nation, F.col("n_nationkey"), F.col("n_name"), no_space, no_targs, F.array(F.concat(F.lit("n"), s("n_nationkey"))))
+    people = row(customer, F.col("c_custkey") + SHIFT, F.col("c_name"), seg, no_targs, F.when(F.col("c_mktsegment") == "BUILDING", F.array(alias)).otherwise(no_more))
+    arg = F.array(F.struct(F.lit("Type").alias("k"), F.lit(None).cast("bigint").alias("const"), T.ptr(T.base(F.col("o_custkey") + SHIFT)).alias("tree"))).cast(f"array<{dies.TARG}>")
+    made = row(orders, F.col("o_orderkey") + 2 * SHIFT, F.lit("o"), no_space, arg, no_more)
+    graph = factored.alternatives(spaces.union(people).union(made))
+    known = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit("::"), "c_name").alias("full"))
+    whom = F.when(F.col("o_orderkey") % 2 == 1, F.col("full")).otherwise(F.concat(F.lit("alias_"), s("o_custkey")))
+    asked = orders.join(known, F.col("c_custkey") == F.col("o_custkey"), "left").select((F.col("o_orderkey") + 2 * SHIFT).alias("goff"), F.concat(F.lit("o<"), whom, F.lit("*>")).alias("text"))
+    got = factored.members(graph, asked).join(factored.counts(graph), "goff")
+    return got.select((F.col("goff") - 2 * SHIFT).alias("o_orderkey"), F.col("n").cast("bigint").alias("n"), "found")
