@@ -361,9 +361,21 @@ def closure(edges: DataFrame, limit: int = 30) -> tuple[DataFrame, DataFrame]:
     raise ValueError("closure did not settle")
 
 
+# The kinds of rows.
+KINDS = ("prim", "typedef", "alias", "tree", "enum", "enum_decl", "union", "union_decl", "struct", "struct_decl")
+
+
+def type_counts() -> list[Column]:
+    """How many rows there are and how many of each kind, as aggregates over types."""
+    return [F.count(F.lit(1)).alias("types"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]]
+
+
+def symbol_counts() -> list[Column]:
+    """How many symbols there are, and how many are functions and data, as aggregates over symbols."""
+    is_fn = F.element_at("ty", -1)["op"] == "SUB"
+    return [F.count(F.lit(1)).alias("symbols"), F.count_if(is_fn).alias("functions"), F.count_if(~is_fn).alias("data")]
+
+
 def stage_counts(types: DataFrame, symbols: DataFrame) -> DataFrame:
     """One row: how many rows of each kind, and how many functions and data there are."""
-    kinds = ("prim", "typedef", "alias", "tree", "enum", "enum_decl", "union", "union_decl", "struct", "struct_decl")
-    a = types.agg(F.count("*").alias("types"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    is_fn = F.element_at("ty", -1)["op"] == "SUB"
-    return a.crossJoin(symbols.agg(F.count("*").alias("symbols"), F.count_if(is_fn).alias("functions"), F.count_if(~is_fn).alias("data")))  # one row each
+    return types.agg(*type_counts()).crossJoin(symbols.agg(*symbol_counts()))  # one row each

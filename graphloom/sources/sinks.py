@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trees
@@ -45,9 +45,16 @@ def dump(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def summary(counts: DataFrame) -> str:
-    """The one row of counts as aligned text."""
-    row = counts.first().asDict()
+def dump_counted(df: DataFrame, path: str, counts: list[Column]) -> dict[str, int]:
+    """As dump; and the counts, named aggregates over df such as operators.rows.type_counts, which are taken while it is written, without a scan of their own."""
+    seen = Observation()
+    dump(df.observe(seen, *counts), path)
+    return seen.get
+
+
+def summary(counts: DataFrame | dict[str, int]) -> str:
+    """The one row of counts, or the counts, as aligned text."""
+    row = counts if isinstance(counts, dict) else counts.first().asDict()
     wide = max(map(len, row))
     return "\n".join(f"{k.rjust(wide)}: {v}" for k, v in row.items())
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import trees as T
+from graphloom.operators import rows
 from graphloom.sources import compile_db, config, sinks, tables
 
 
@@ -99,3 +100,28 @@ def test_documents_and_stores(spark, tmp_path):
     assert sinks.summary(spark.createDataFrame([(1, 22)], "types int, x int")) == "types: 1\n    x: 22"
     sinks.save_demangled(spark.createDataFrame([("b", "B"), ("a", "A")], "symbol string, text string"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
+
+
+T_ROWS = [[("BASE",), ("SUB",)], [("BASE",)]]
+
+
+def test_counts_while_written(spark, tmp_path):
+    """The counts are those of a scan, and writing takes the one job that it takes without them."""
+    kinds = ["struct", "struct", "enum", "tree", None]
+    types = spark.createDataFrame([(i, kinds[i % 5]) for i in range(1000)], "goff long, kind string").repartition(3)
+    ty = spark.createDataFrame([(T_ROWS[i % 2],) for i in range(10)], "ty array<struct<op:string>>")
+
+    def jobs(group, f):
+        spark.sparkContext.setJobGroup(group, group)
+        out = f()
+        spark.sparkContext.setJobGroup("other", "other")
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    got, n = jobs("counted", lambda: sinks.dump_counted(types, str(tmp_path / "a"), rows.type_counts()))
+    assert n == jobs("plain", lambda: sinks.dump(types, str(tmp_path / "b")))[1]
+    more = sinks.dump_counted(ty, str(tmp_path / "c"), rows.symbol_counts())
+    assert got | more == rows.stage_counts(types, ty).first().asDict()
+    assert (got["types"], got["struct"], got["alias"], more["functions"]) == (1000, 400, 0, 5)
+    assert sinks.summary(more) == "  symbols: 10\nfunctions: 5\n     data: 5"
+    assert spark.read.json(str(tmp_path / "a")).count() == 1000
+    assert sinks.dump_counted(types.limit(0), str(tmp_path / "d"), rows.type_counts())["types"] == 0
