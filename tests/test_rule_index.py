@@ -64,3 +64,31 @@ def test_preferred(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "a", 0), (2, "z", 1 << 16)]
     assert rule_index.preferred(named, [], []).count() == 2
     assert rule_index.first_matches(named.limit(0), rule_index.rule_table(named.sparkSession, ["a"])).count() == 0
+
+
+def test_rules_meet_only_names_that_hold_their_text(spark):
+    """Numbers share their n-grams: a rule over one number meets the names with that number, however many there are."""
+    rows = spark.range(2000).select(F.concat(F.lit("c"), F.col("id") + 100_000, F.lit("::BUILDING<"), F.col("id") % 25, F.lit(">")).alias("name"))
+    rules = rule_index.rule_table(spark, [f"^c{i}::(?:BUILDING|MACHINERY)<\\d*5>$" for i in range(100_000, 102_000)])
+    assert rule_index.candidates(rows, rules).count() == 2000
+    long = rule_index.rule_table(spark, ["^c100007::BUILDING<7>$", "::BUILDING<7>.*a text longer than the index's n-grams"])
+    assert [tuple(r)[:2] for r in rule_index.candidates(rows, long).collect()] == [("c100007::BUILDING<7>", 0)]
+    assert rule_index.requirements("ab(?:cdef|ghij)+kl") == [["cdef", "ghij"]]
+    assert rule_index.requirements("^c1::(?:BUILDING|MACHINERY)<\\d*7>$") == [["c1::"], ["BUILDING", "MACHINERY"]]
+
+
+def test_nothing_is_broadcast(spark):
+    """Names and rules take many times their size on disk in memory."""
+    rows = spark.range(10).select(F.col("id").cast("string").alias("name"))
+    out = rule_index.first_matches(rows, rule_index.rule_table(spark, ["1", "2"]))
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("pattern", [*(p for p, _ in KNOWN), "c12::a{12}b3", "c12+d34", r"\x41b12", r"a\12b", r"x\b12y|z34", "(?P<n1>a12)b", "a12", "[c12]d34::", "(?:a1b|c22d)e333", "12a", "a{1,12}b", "(a12)?c7c"])
+def test_numbers_are_marks_meanwhile(pattern):
+    """Marked or not, the requirements are the same; a text of which nothing is known stays so."""
+    found = rule_index._parsed(pattern)
+    sets = {frozenset(s) for s in (rule_index._sets(found) if found else [])}
+    got = {frozenset(s) for s in rule_index.requirements(pattern)}
+    assert got <= (sets or {frozenset([""])})
