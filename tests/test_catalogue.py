@@ -1,8 +1,12 @@
 """Every query with SQL gives DuckDB's rows."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.operators import rows
 from graphloom.plans import catalogue, fixpoint
 
 DIR = "/root/testdata/sf0.001"
@@ -43,3 +47,29 @@ def test_whole_tables(spark):
         deps[k] = {k // 2, k // 3} | deps[k // 2] | deps[k // 3]
     part = spark.createDataFrame(rows, "p_partkey long")
     assert {tuple(r) for r in catalogue.closure(part).collect()} == {(k, d) for k in deps for d in deps[k]}
+
+
+def test_closure_of_cycles(spark):
+    """Random graphs with cycles and edges of a node to itself: pairs and mutual pairs are those of plain search."""
+    rng = random.Random(5)
+    for n, m in ((6, 9), (12, 14), (1, 1)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        want = set(edges)
+        while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+            want |= more
+        got, mutual = rows.closure(spark.createDataFrame(sorted(edges), "src long, dst long"))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert {tuple(r) for r in mutual.collect()} == {(a, b) for a, b in want if (b, a) in want}
+
+
+def test_closure_joins_with_edges_only(spark):
+    """A chain of n nodes has n * n / 2 pairs; joining pairs with pairs gives their cube."""
+    chain = spark.range(150).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    rounds = []
+    old, rows.cut = rows.cut, lambda df: rounds.append(out := old(df)) or out
+    try:
+        assert rows.closure(chain.where("src < 40"))[0].count() == 40 * 41 // 2
+    finally:
+        rows.cut = old
+    # each round's table holds pairs of one length, no pair twice
+    assert sum(r.count() for r in rounds) == 40 + 2 * 40 * 41 // 2
