@@ -165,9 +165,15 @@ def _with_prims(nodes: DataFrame) -> DataFrame:
     return cut(nodes.union(prims.join(nodes.select("k"), "k", "left_anti")))
 
 
+def alias_ends(types: DataFrame) -> DataFrame:
+    """(goff, root, cycle, error) of all rows through aliases, typedefs and trees of a single type, in one walk: where each ends or, with an error, the least goff of the cycle it runs into."""
+    at = fixpoint.resolve_rows(alias_steps(types))
+    return at.select(F.col("k").alias("goff"), "root", "cycle", F.when(F.col("cycle").isNotNull(), "alias cycle").alias("error"))
+
+
 def alias_errors(types: DataFrame) -> DataFrame:
     """(goff, cycle, error) of aliases, typedefs and trees of a single type that end nowhere; cycle: the least goff of the cycle they run into."""
-    return fixpoint.resolve_rows(alias_steps(types)).where("cycle is not null").select(F.col("k").alias("goff"), "cycle", F.lit("alias cycle").alias("error"))
+    return alias_ends(types).where("cycle is not null").select("goff", "cycle", "error")
 
 
 def resolved_aliases(types: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -55,26 +55,26 @@ def resolve(nodes: DataFrame, limit: int = 12) -> DataFrame:
 def resolve_rows(nodes: DataFrame) -> DataFrame:
     """(k, root, hops, cycle) of a functional graph (k, nxt) of any depth, nxt null at a root; a walk that runs into a cycle has no root, and the cycle's least node.
 
-    Walks double each round and carry the least node they passed. While some row still has a root further off, each
-    round brings one there, so a round without any leaves only rows of cycles; those double until a walk is as
-    long as they are many, which then ends on the cycle and from there goes around it. What points outside the table
-    ends there; null k have no row.
+    Walks double each round and carry the least node they passed (low) and that of the walk from where they end
+    (ahead). While some row still has a root further off, each round brings one there, so a round without any leaves
+    only rows of cycles. If doubling then changes no low, no walk meets a lower node ever; if it changes no ahead
+    either, all that is ahead of a walk is its cycle. So rounds grow with the longest walk, not with the rows. What
+    points outside the table ends there; null k have no row.
     """
-    at = cut(nodes.where("k is not null").select("k", F.coalesce("nxt", "k").alias("root"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("k").alias("low"), F.col("nxt").isNull().alias("done")))
+    own = nodes.where("k is not null").select("k", F.coalesce("nxt", "k").alias("root"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("k").alias("low"), F.col("k").alias("ahead"), F.col("nxt").isNull().alias("done"))
+    at = cut(own.withColumn("still", F.lit(False)))
     done, left = at.where("done"), at.where("not done")
-    length, around = 1, 0  # steps of a walk; how long it must be, once only cycles are left
-    while not around or length < around:
+    while True:
         on = done.union(left).select(F.col("k").alias("root"), F.col("root").alias("r2"), F.col("hops").alias("h2"), F.col("low").alias("l2"), F.col("done").alias("d2"))
-        moved = left.join(on, "root", "left").select("k", F.coalesce("r2", "root").alias("root"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.least("low", "l2").alias("low"), F.coalesce("d2", F.lit(True)).alias("done"))
+        low = F.least("low", "l2")
+        moved = left.join(on, "root", "left").select("k", F.coalesce("r2", "root").alias("root"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), low.alias("low"), F.col("l2").alias("ahead"), F.coalesce("d2", F.lit(True)).alias("done"), ((low == F.col("low")) & F.col("l2").eqNullSafe(F.col("ahead"))).alias("still"))
         moved = cut(moved)
-        done, left, length = done.union(moved.where("done")), moved.where("not done"), 2 * length
-        counts = moved.agg(F.count("*").alias("n"), F.count_if("done").alias("new")).first()
-        if counts["n"] == counts["new"]:
+        done, left = done.union(moved.where("done")), moved.where("not done")
+        counts = moved.agg(F.count("*").alias("n"), F.count_if("done").alias("new"), F.count_if("still").alias("still")).first()
+        if counts["n"] == counts["new"] or counts["new"] == 0 and counts["n"] == counts["still"]:
             break
-        around = around or (counts["n"] if counts["new"] == 0 else 0)
-    whole = left.join(left.select(F.col("k").alias("root"), F.col("low").alias("cycle")), "root")
     none = F.lit(None).cast("bigint")
-    return done.select("k", "root", "hops", none.alias("cycle")).union(whole.select("k", none, none, "cycle"))
+    return done.select("k", "root", "hops", none.alias("cycle")).union(left.select("k", none, none, F.col("ahead").alias("cycle")))
 
 
 def reach(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:

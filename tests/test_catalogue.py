@@ -73,3 +73,22 @@ def test_closure_joins_with_edges_only(spark):
         rows.cut = old
     # each round's table holds pairs of one length, no pair twice
     assert sum(r.count() for r in rounds) == 40 + 2 * 40 * 41 // 2
+
+
+def test_rounds_follow_the_walks(spark):
+    """2,048 rows in cycles of two with tails of up to three: as many rounds as for eight rows, and the cycles' least nodes."""
+
+    def run(n):
+        tables = []
+        old, fixpoint.cut = fixpoint.cut, lambda df: tables.append(1) or old(df)
+        try:
+            at = F.col("id") % 8
+            nodes = spark.range(n).select(F.col("id").alias("k"), F.when(at == 7, F.col("id") - 1).when(at == 6, F.col("id") + 1).when(at == 5, F.col("id") + 1).when(at == 0, F.lit(None)).otherwise(F.col("id") + 1).alias("nxt"))
+            return {r.k: (r.root, r.cycle) for r in fixpoint.resolve_rows(nodes).collect()}, len(tables)
+        finally:
+            fixpoint.cut = old
+
+    (few, rounds), (many, more) = run(8), run(2048)
+    assert rounds == more
+    assert many == {k: (k, None) if k % 8 == 0 else (None, k - k % 8 + 6) for k in range(2048)}
+    assert few == {k: many[k] for k in range(8)}
