@@ -109,16 +109,33 @@ def sweep(rows: DataFrame, refs: DataFrame, always: DataFrame, limit: int = 1000
     raise ValueError("sweep did not settle")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(k, component) with the least node reachable over undirected (src, dst): labels spread and jump."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    at = cut(both.groupBy(F.col("src").alias("k")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(limit):
-        near = both.join(at, both.dst == at.k).groupBy(F.col("src").alias("k")).agg(F.min("component").alias("c"))
-        new = at.join(near, "k").select("k", F.least("component", "c").alias("component"))
-        jump = new.select(F.col("k").alias("component"), F.col("component").alias("c2"))
-        new = cut(new.join(jump, "component").select("k", F.col("c2").alias("component")))
-        if new.join(at.withColumnRenamed("component", "old"), "k").where("component <> old").isEmpty():
-            return new
-        at = new
-    raise ValueError("components did not settle")
+def components(edges: DataFrame, limit: int = 200) -> DataFrame:
+    """(k, component) with the least node reachable over undirected (src, dst).
+
+    Each round orders nodes anew by a hash, and each node joins the first of itself and its neighbours; edges then
+    run between those, once each and none within one. So edges and nodes shrink by a share each round, whatever
+    the shape of the graph, and only the first round sees them all.
+    """
+    pairs = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    every = cut(pairs.distinct())
+    left, steps = every.where("a <> b"), []
+    for i in range(limit):
+        if left.isEmpty():
+            break
+        order = lambda c: F.struct(F.xxhash64(F.lit(i), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        both = left.select(F.col("a").alias("k"), F.col("b").alias("o")).union(left.select("b", "a"))
+        step = cut(both.groupBy("k").agg(F.min(order("o")).alias("m")).select("k", F.least("m", order("k"))["v"].alias("to")))
+        steps.append(step)
+        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        left = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    else:
+        raise ValueError("components did not settle")
+    alone = every.where("a = b").select(F.col("a").alias("k"), F.col("a").alias("component")).distinct()
+    if not steps:
+        return cut(alone)
+    at = steps[-1]
+    for step in reversed(steps[:-1]):
+        at = step.join(at.select(F.col("k").alias("to"), F.col("to").alias("last")), "to", "left").select("k", F.coalesce("last", "to").alias("to"))
+    at = cut(at)
+    found = at.join(at.groupBy("to").agg(F.min("k").alias("component")), "to").select("k", "component")
+    return cut(found.union(alone.join(at, "k", "left_anti")))

@@ -75,6 +75,21 @@ def test_closure_joins_with_edges_only(spark):
     assert sum(r.count() for r in rounds) == 40 + 2 * 40 * 41 // 2
 
 
+def test_components_of_a_long_path(spark):
+    """A path in random order, a star, a node with itself, and a pair with a null."""
+    rng = random.Random(7)
+    names = rng.sample(range(1000, 10_000), 400)
+    edges = [*zip(names, names[1:]), *((5, k) for k in range(20_000, 20_050)), (7, 7), (None, 8), (9, None), (5, 5)]
+    rounds = []
+    old, fixpoint.cut = fixpoint.cut, lambda df: rounds.append(out := old(df)) or out
+    try:
+        got = {r.k: r.component for r in fixpoint.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    finally:
+        fixpoint.cut = old
+    assert got == {k: min(names) for k in names} | {k: 5 for k in (5, *range(20_000, 20_050))} | {7: 7}
+    assert sum(r.count() for r in rounds if r.columns == ["a", "b"]) < 4 * len(edges)  # all rounds' edges
+
+
 def test_rounds_follow_the_walks(spark):
     """2,048 rows in cycles of two with tails of up to three: as many rounds as for eight rows, and the cycles' least nodes."""
 
