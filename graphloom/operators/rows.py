@@ -293,8 +293,8 @@ def dedupe(types: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Rows with equal payloads become the row of the least goff, and references follow, until nothing changes; and (goff, to) of those that went."""
     at, gone = cut(types), None
     for _ in range(limit):
-        first = at.select("goff", canonical(at).alias("c")).groupBy("c").agg(F.min("goff").alias("to"), F.collect_list("goff").alias("all"))
-        step = cut(first.where(F.size("all") > 1).select(F.explode("all").alias("goff"), "to").where("goff <> to"))
+        named = cut(at.select("goff", canonical(at).alias("c")))
+        step = cut(named.join(named.groupBy("c").agg(F.min("goff").alias("to")), "c").where("goff <> to").select("goff", "to"))
         if step.isEmpty():
             empty = at.sparkSession.createDataFrame([], "goff bigint, to bigint")
             return at, empty if gone is None else gone
