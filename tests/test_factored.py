@@ -64,3 +64,16 @@ def test_more_than_can_be_written_out(spark):
 def test_marks_in_names(spark):
     with pytest.raises(Exception, match="code point"):
         factored.alternatives(types(spark, row(1, "struct", name="a\x01")))
+
+
+def test_rounds_carry_no_texts(spark, monkeypatch):
+    """Questions to names that nest six deep: each text is written with its question and its types, not with every round; what is built from itself has no spelling."""
+    wrote, cut = [], factored.cut
+    monkeypatch.setattr(factored, "cut", lambda df: (wrote.append(df.columns), cut(df))[1])
+    graph = spark.createDataFrame([(i, 0, ["<", str(i - 1), ">"] if i else ["x"]) for i in range(7)] + [(6, 1, ["y"]), (8, 0, ["", "9", ""]), (9, 0, ["", "8", ""]), (9, 1, ["z"])], "goff bigint, alt int, pieces array<string>")
+    texts = [(6, "<<<<<<x>>>>>>"), (6, "y"), (6, "<y>"), (2, "<<x>>"), (2, "x"), (8, "z"), (9, "z"), (7, "x"), (0, None)]
+    got = factored.members(graph, spark.createDataFrame(texts, "goff bigint, text string"))
+    yes = texts[:2] + texts[3:4] + [(9, "z")]
+    assert sorted((r.goff, r.text or "", r.found) for r in got.collect()) == sorted((g, t or "", (g, t) in yes) for g, t in texts)
+    assert sum("text" in c for c in wrote) <= 2
+    assert {r.goff: int(r.n) for r in factored.counts(graph).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 8: 0, 9: 1}
