@@ -2,7 +2,8 @@
 
 The meaning is that of one change at a time, the least goff first. The rules over shapes run in batches that give the
 same result: all that a rule finds changes at once, but for what depends on the order, which waits for a later batch
-(see waiting()). Trees that stand for each other are composed, chains twice as far a round.
+(see waiting()). Trees that stand for each other are composed, chains twice as far a round. Batches read and write only
+what the rules look at (see Shapes); the types themselves are rewritten once, after the last batch.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ class Stage:
     symbols: DataFrame
     derived: DataFrame | None = None
 
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return rows.sizes(self.types)
+
     @cached_property
     def spelled(self) -> DataFrame:
         """(goff, spelled, kind) of this state; every rule that matches names reads it."""
@@ -46,12 +51,28 @@ class Rules:
     strict: bool = True
 
 
+@dataclass
+class Shapes:
+    """What rules over shapes look at, and what batches have decided so far.
+
+    types: unions and structs of a single member without virtual functions, with no more of their members than the types;
+    sizes: of what those refer to. by: (goff, tree) of types that went, written out; empty: (goff) of unions that became
+    structs; pairs: (lower, upper) of a type, or one that had gone to it before, and the named type that stood for it.
+    """
+
+    types: DataFrame
+    sizes: DataFrame
+    by: DataFrame | None = None
+    empty: DataFrame | None = None
+    pairs: DataFrame | None = None
+
+
 Change = tuple[int, list | None]  # the goff that goes, and the tokens of what stands for it; None: becomes an empty struct
 
 
 def from_units(types: DataFrame) -> DataFrame:
     """Rows of the linked stage with fqnames; declarations become structs without members, of size 1."""
-    named = types.join(spelling.full_names(types), "goff", "left")
+    named = types.withColumn("fqnames", spelling.own_names(types))
     decl = F.col("kind").endswith("_decl")
     out = named.withColumn("byte_size", F.when(decl, 1).otherwise(F.col("byte_size")).cast("bigint")).withColumn("kind", F.when(decl, "struct").otherwise(F.col("kind")))
     for c in ("members", "vtable", "targs"):
@@ -73,8 +94,8 @@ def to_units(types: DataFrame, declared_names: DataFrame | None = None) -> DataF
     return rows.dedupe(out)[0]
 
 
-def _size(tree: str, df: DataFrame, st: Stage, r: Rules) -> DataFrame:
-    return rows.tree_sizes(df, tree, ["goff"], rows.sizes(st.types), r.pointer, r.data_member, r.function_member)
+def _size(tree: str, df: DataFrame, st: Stage | Shapes, r: Rules) -> DataFrame:
+    return rows.tree_sizes(df, tree, ["goff"], st.sizes, r.pointer, r.data_member, r.function_member)
 
 
 def guarded(df: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -132,7 +153,7 @@ def enumeratorize(st: Stage, r: Rules, fixed: DataFrame) -> Change | None:
     return None
 
 
-def single_members(st: Stage, r: Rules) -> DataFrame:
+def single_members(st: Stage | Shapes, r: Rules) -> DataFrame:
     """(goff, to) of structs of one member without virtual functions, of the member's size; another size is an error if strict."""
     one = st.types.where("kind = 'struct' and size(members) = 1 and size(vtable) = 0").select("goff", "byte_size", F.get("members", F.lit(0))["ty"].alias("to"))
     one = cut(_size("to", one, st, r))
@@ -142,7 +163,7 @@ def single_members(st: Stage, r: Rules) -> DataFrame:
     return one.where(fits).select("goff", "to")
 
 
-def few_members(st: Stage, r: Rules) -> DataFrame:
+def few_members(st: Stage | Shapes, r: Rules) -> DataFrame:
     """(goff, to, odd) of unions: without members, which become empty structs (to is empty), of a single member, and of two of which one is a named type of the union's size. odd: a single member of another size."""
     n = st.types.where("kind = 'union' and size(members) <= 2")
     named = lambda i: F.coalesce(rows.single_base(F.get("members", F.lit(i))["ty"]) < trees.FIRST_PRIM, F.lit(False))
@@ -155,7 +176,7 @@ def few_members(st: Stage, r: Rules) -> DataFrame:
     return ok.select("goff", "to", ((F.col("n") == 1) & ~F.col("byte_size").eqNullSafe(F.col("tree_size"))).alias("odd"))
 
 
-def same_types(st: Stage, r: Rules) -> DataFrame:
+def same_types(st: Stage | Shapes, r: Rules) -> DataFrame:
     """(goff, to) of unions whose members are all of one type."""
     ty = F.transform("members", lambda m: m["ty"])
     return st.types.where("kind = 'union' and size(members) > 0").where(F.size(F.array_distinct(ty)) == 1).select("goff", F.get("members", F.lit(0))["ty"].alias("to"))
@@ -180,7 +201,7 @@ BY_NAME: list[Callable[[Stage, Rules, DataFrame], Change | None]] = [pick_member
 BY_SHAPE = [(single_member, single_members), (number_of_members, few_members), (same_type_members, same_types)]
 
 
-def waiting(st: Stage, cand: DataFrame, rule: Callable) -> DataFrame:
+def waiting(st: Stage | Shapes, cand: DataFrame, rule: Callable) -> DataFrame:
     """(goff) of candidates whose turn comes later, since what they become depends on which of two goes first.
 
     These are: one that only a single type may replace, and the type that would is to go before it (or, where same
@@ -202,7 +223,7 @@ def waiting(st: Stage, cand: DataFrame, rule: Callable) -> DataFrame:
     return out.union(_second(st, cand, always=False)).distinct() if rule is number_of_members else out.distinct()
 
 
-def _second(st: Stage, cand: DataFrame, always: bool) -> DataFrame:
+def _second(st: Stage | Shapes, cand: DataFrame, always: bool) -> DataFrame:
     """(goff) of the greater of two candidates that are the members of one union; not where the union comes after both, unless always."""
     m = lambda i: rows.single_base(F.get("members", F.lit(i))["ty"])
     two = st.types.where("kind = 'union' and size(members) = 2").select(F.col("goff").alias("u"), F.least(m(0), m(1)).alias("a"), F.greatest(m(0), m(1)).alias("b"), (m(0).isNotNull() & m(1).isNotNull()).alias("both")).where("both and a < b")
@@ -210,51 +231,88 @@ def _second(st: Stage, cand: DataFrame, always: bool) -> DataFrame:
     return (two if always else two.where("u < b")).select(F.col("b").alias("goff"))
 
 
-def together(st: Stage, go: DataFrame) -> Stage:
+def shapes(types: DataFrame) -> Shapes:
+    member = types.schema["members"].dataType.simpleString()
+    ty = lambda m: F.struct(F.lit(None).alias("offset"), F.lit(None).alias("name"), m["ty"].alias("ty"), F.lit(None).alias("special"), F.lit(None).alias("bit_bytes"))
+    some = types.where("kind = 'union' or (kind = 'struct' and size(members) = 1 and size(vtable) = 0)")
+    own = cut(some.select("goff", "kind", "byte_size", F.transform("members", ty).cast(member).alias("members"), F.array().cast(types.schema["vtable"].dataType).alias("vtable")))
+    used = own.select(F.explode(rows.goffs(own)).alias("goff")).distinct()
+    return Shapes(own, cut(rows.sizes(types).join(used, "goff", "left_semi")))
+
+
+def together(sh: Shapes, go: DataFrame) -> Shapes:
     """All of go (goff, to) give way at once, to what their trees are once composed; those with an empty tree become empty structs.
 
-    A class of a pointer to member that would become a tree is an error where such a pointer is left. Names of types that end in a named type go to that, their own before others'. derived has a row for a name and each
-    own name of the type that stood for its type directly; pairs that follow through that one, or from names that it
-    had been given, aren't written out.
+    Pairs that follow through the type that stood for another directly, or from names that it had been given, aren't kept.
     """
-    empty = go.where("size(to) = 0").select("goff", F.lit(True).alias("empty"))
+    union = lambda a, b: b if a is None else cut(a.union(b))
     direct = cut(go.where("size(to) > 0").select("goff", F.col("to").alias("tree")))
     by = rows.composed(direct, strict=True)
-    types = st.types.join(empty, "goff", "left").withColumn("kind", F.when(F.col("empty"), "struct").otherwise(F.col("kind"))).drop("empty")
-    types = cut(rows.substituted(types, by, strict=True))
-    gone = types.join(by.select("goff", rows.single_base(F.col("tree")).alias("root")), "goff").where(F.col("root") < trees.FIRST_PRIM)
-    kind = types.schema["fqnames"].dataType
-    each = lambda df, to: df.select(F.col(to).alias("goff"), F.explode("fqnames").alias("x")).withColumn("text", F.to_json("x"))
-    own = types.join(gone.select(F.col("root").alias("goff")).distinct(), "goff", "left_semi")
-    # one row a name: distinct on arrays of structs would take the square of a type's names
-    more = each(gone, "root").groupBy("goff", "text").agg(F.first("x").alias("x")).join(each(own, "goff").select("goff", "text"), ["goff", "text"], "left_anti")
-    given = more.groupBy("goff").agg(F.transform(F.array_sort(F.collect_list(F.struct("text", "x"))), lambda p: p["x"]).alias("given"))
-    left = types.join(by.select("goff"), "goff", "left_anti").join(given, "goff", "left")
-    left = left.withColumn("fqnames", F.concat(F.coalesce("fqnames", F.array().cast(kind)), F.coalesce("given", F.array().cast(kind)))).drop("given")
+    left = cut(rows.unlost(rows.substituted(sh.types.join(go.select("goff"), "goff", "left_anti"), by, strict=True)))
     to = direct.select("goff", rows.single_base(F.col("tree")).alias("base")).where(F.col("base") < trees.FIRST_PRIM)
     # names of a base that ends in a tree are lost with it, so only what goes before it is derived from them
     ends = by.select(F.col("goff").alias("base"), F.coalesce(rows.single_base(F.col("tree")) < trees.FIRST_PRIM, F.lit(False)).alias("named"))
-    to = to.join(ends, "base", "left").where(F.coalesce(F.col("named"), F.lit(True)) | (F.col("goff") < F.col("base"))).select("goff", "base")
-    lower = types.join(to, "goff").select("base", F.explode("fqnames").alias("d")).select("base", F.to_json("d").alias("derived"))
-    upper = types.select(F.col("goff").alias("base"), F.explode("fqnames").alias("b")).select("base", F.to_json("b").alias("name"))
+    to = cut(to.join(ends, "base", "left").where(F.coalesce(F.col("named"), F.lit(True)) | (F.col("goff") < F.col("base"))).select(F.col("goff").alias("lower"), F.col("base").alias("upper")))
+    if sh.by is not None:
+        before = sh.by.select("goff", rows.single_base(F.col("tree")).alias("lower"))
+        to = to.union(before.join(to, "lower").select("goff", "upper"))
+        by = cut(rows.substituted(sh.by, by, strict=True).union(by))
+    return Shapes(left, sh.sizes, by, union(sh.empty, go.where("size(to) = 0").select("goff")), union(sh.pairs, to))
+
+
+def settled(st: Stage, sh: Shapes) -> Stage:
+    """The stage after all that the batches decided; types and symbols are plans over what is written, for whoever reads them to write or to narrow.
+
+    A class of a pointer to member that would become a tree is an error where such a pointer is left. Names of types
+    that end in a named type go to that, their own before others'. derived has a row for a name of a pair's lower type
+    and each own name of its upper type.
+    """
+    kind, cols = st.types.schema["fqnames"].dataType, st.types.columns
+    named = cut(rows.substituted(st.types.select("goff", "fqnames"), sh.by, strict=True))
+    text = lambda df, to: df.select(to, F.explode("fqnames").alias("x")).withColumn("text", F.to_json("x"))
+    ends = sh.by.select("goff", rows.single_base(F.col("tree")).alias("root")).where(F.col("root") < trees.FIRST_PRIM)
+    own = named.join(ends.select(F.col("root").alias("goff")).distinct(), "goff", "left_semi")
+    # one row a name: distinct on arrays of structs would take the square of a type's names
+    more = text(named.join(ends, "goff"), "root").groupBy(F.col("root").alias("goff"), "text").agg(F.first("x").alias("x"))
+    more = more.join(text(own, "goff").select("goff", "text"), ["goff", "text"], "left_anti")
+    given = cut(more.groupBy("goff").agg(F.transform(F.array_sort(F.collect_list(F.struct("text", "x"))), lambda p: p["x"]).alias("given")))
+
+    empty = sh.empty.select("goff", F.lit(True).alias("empty"))
+    left = rows.substituted(st.types.drop("fqnames"), sh.by, strict=True).join(sh.by.select("goff"), "goff", "left_anti")
+    left = left.join(empty, "goff", "left").withColumn("kind", F.when(F.col("empty"), "struct").otherwise(F.col("kind"))).drop("empty")
+    none = F.array().cast(kind)
+    left = left.join(named, "goff", "left").join(given, "goff", "left").withColumn("fqnames", F.concat(F.coalesce("fqnames", none), F.coalesce("given", none)))
+    types, symbols = rows.unlost(left.select(cols)), rows.unlost(rows.substituted(st.symbols, sh.by, ["link_name"], strict=True))
+    classes = [df.select(F.explode(trees.member_classes(rows.tokens(df))).alias("goff")) for df in (st.types, st.symbols)]
+    trees_ = sh.by.where(rows.single_base(F.col("tree")).isNull())
+    if not trees_.join(classes[0].union(classes[1]), "goff", "left_semi").isEmpty() or not trees_.where(F.exists("tree", lambda t: t["op"] == "LOST")).isEmpty():
+        types, symbols = cut(types), cut(symbols)  # fails where such a pointer is left
+
+    lower = text(named.join(sh.pairs.withColumnRenamed("lower", "goff"), "goff"), "upper").select("upper", F.col("text").alias("derived"))
+    upper = text(named.join(sh.pairs.select(F.col("upper").alias("goff")).distinct(), "goff", "left_semi"), "goff").select(F.col("goff").alias("upper"), F.col("text").alias("base"))
     if st.derived is not None:  # a base's own names only, not those that it was given
-        upper = upper.join(st.derived.select(F.col("derived").alias("name")).distinct(), "name", "left_anti")
-    edge = lower.join(upper, "base").select("derived", F.col("name").alias("base"))
+        upper = upper.join(st.derived.select(F.col("derived").alias("base")).distinct(), "base", "left_anti")
+    edge = lower.join(upper, "upper").select("derived", "base")
     derived = cut(edge if st.derived is None else st.derived.union(edge))
     spelling.name_graph(derived)
-    return Stage(cut(rows.unlost(left)), cut(rows.unlost(rows.substituted(st.symbols, by, ["link_name"], strict=True))), derived)
+    return Stage(types, symbols, derived)
 
 
-def batch(st: Stage, r: Rules, fixed: DataFrame) -> Stage | None:
-    """What the first rule over shapes that finds anything changes, as far as it can go together; None where none finds anything."""
-    for rule, candidates in BY_SHAPE:
-        cand = cut(guarded(candidates(st, r), fixed))
-        if cand.isEmpty():
-            continue
-        if "odd" in cand.columns and not cand.where("odd").isEmpty():
-            return eliminate(st, rule(st, r, fixed))  # sizes change, which other rules look at
-        return together(st, cut(cand.join(waiting(st, cand, rule), "goff", "left_anti").select("goff", "to")))
-    return None
+def batch(st: Stage, r: Rules, fixed: DataFrame, limit: int) -> tuple[Stage | None, bool]:
+    """The stage after up to limit batches, each what the first rule over shapes that finds anything changes as far as it can go together, None where none finds anything; and whether none would find more."""
+    sh, made = shapes(st.types), 0
+    while made < limit:
+        for rule, candidates in BY_SHAPE:
+            cand = cut(guarded(candidates(sh, r), fixed))
+            if not cand.isEmpty():
+                break
+        else:
+            return (settled(st, sh) if made else None), True
+        if "odd" in cand.columns and not cand.where("odd").isEmpty():  # sizes change, which other rules look at
+            return (settled(st, sh) if made else eliminate(st, rule(st, r, fixed))), False
+        sh = together(sh, cut(cand.join(waiting(sh, cand, rule), "goff", "left_anti").select("goff", "to")))
+        made += 1
+    return settled(st, sh), False
 
 
 def literal(tokens: list) -> Column:
@@ -290,21 +348,25 @@ def optimize(st: Stage, r: Rules, prune: bool = False, limit: int = 100_000, bat
     Rules over names change one type at a time. After a batch that makes one of them match, the batch is taken back,
     and one change is made instead; without batches every change is made alone.
     """
+    st, done = Stage(cut(st.types), cut(st.symbols), st.derived), False
     fixed = cut(rows.non_eliminateable(st.types, st.symbols))
-    st = Stage(cut(st.types), cut(st.symbols), st.derived)
+    named = bool(r.pick or r.enums)
     for _ in range(limit):
         change = next((c for rule in BY_NAME if (c := rule(st, r, fixed)) is not None), None)
         if change is not None:
             st = eliminate(st, change)
             continue
         if batches:
-            new = batch(st, r, fixed)
-            if new is not None and (r.pick or r.enums) and any(rule(new, r, fixed) is not None for rule in BY_NAME):
+            new, done = batch(st, r, fixed, 1 if named else limit)
+            if new is not None and not done:
+                new = Stage(cut(new.types), cut(new.symbols), new.derived)
+            if new is not None and named and any(rule(new, r, fixed) is not None for rule in BY_NAME):
                 new = eliminate(st, next(c for rule, _ in BY_SHAPE if (c := rule(st, r, fixed)) is not None))
         else:
             change = next((c for rule, _ in BY_SHAPE if (c := rule(st, r, fixed)) is not None), None)
             new = None if change is None else eliminate(st, change)
-        if new is None:
-            return Stage(rows.prune(st.types, st.symbols), st.symbols, st.derived) if prune else st
+        if new is None or done:
+            st = st if new is None else new
+            return Stage(rows.prune(cut(st.types), st.symbols), st.symbols, st.derived) if prune else st
         st = new
     raise ValueError("rules did not settle")

@@ -345,7 +345,7 @@ def buckets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def non_eliminateable(types: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(goff) of classes of pointers to members, types with a vtable, and types that refer to themselves."""
     owners = lambda df: df.select(F.explode(trees.member_classes(tokens(df))).alias("goff"))
-    parts = [owners(types), references(types).where("src = dst").select(F.col("src").alias("goff"))]
+    parts = [owners(types), types.where(F.array_contains(goffs(types), F.col("goff"))).select("goff")]
     if "vtable" in types.columns:
         parts.append(types.where(F.size("vtable") > 0).select("goff"))
     if symbols is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, trees
@@ -12,12 +12,17 @@ from .rows import looked_up
 NAMES = "array<struct<name:string,targs:array<struct<k:string,const:bigint,tree:" + trees.TYPE + ">>>>"
 
 
-def full_names(types: DataFrame) -> DataFrame:
-    """(goff, fqnames) of rows: the own name with its template arguments, then names from declarations and typedefs (decl_names)."""
+def own_names(types: DataFrame) -> Column:
+    """Names of a row: the own name with its template arguments, then names from declarations and typedefs (decl_names)."""
     none = F.array().cast(NAMES[6:-1].split("targs:")[1][:-1])
     own = F.when(F.col("name").isNotNull(), F.array(F.struct(F.col("name").alias("name"), F.coalesce("targs", none).alias("targs")))).otherwise(F.array().cast(NAMES))
     more = F.transform(F.coalesce("decl_names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), none.alias("targs"))) if "decl_names" in types.columns else F.array().cast(NAMES)
-    return types.select("goff", F.array_distinct(F.concat(own.cast(NAMES), more.cast(NAMES))).alias("fqnames"))
+    return F.array_distinct(F.concat(own.cast(NAMES), more.cast(NAMES)))
+
+
+def full_names(types: DataFrame) -> DataFrame:
+    """(goff, fqnames) of rows, see own_names()."""
+    return types.select("goff", own_names(types).alias("fqnames"))
 
 
 def spellings(named: DataFrame, limit: int = 1000) -> DataFrame:

@@ -167,3 +167,32 @@ def test_long_chain_in_few_rounds(spark):
     r = out.types.collect()
     assert len(calls) == 1 and [x.goff for x in r] == [n - 1] and len(r[0].fqnames) == n
     assert [tuple(x) for x in out.symbols.first().ty] == ptr(b(n - 1)) and out.derived.count() == n - 1
+
+
+def test_types_are_written_once_however_many_batches(spark, monkeypatch):
+    """Batches write only what the rules look at: a struct, a union and a union of same types go in three batches, and names follow through all."""
+    written, real = [], optimize.cut
+    monkeypatch.setattr(optimize, "cut", lambda df: written.append(set(df.columns)) or real(df))
+    args = [("Type", None, b(2))]
+    df = types(
+        spark,
+        row(1, "struct", name="A", byte_size=8, members=[m(0, "x", b(2))]),
+        row(2, "union", name="B", byte_size=8, members=[m(0, "x", b(3)), m(0, "y", ptr(b(1)))]),
+        row(3, "union", name="C", byte_size=8, members=[m(0, "x", b(4)), m(0, "y", b(4)), m(0, "z", b(4))]),
+        row(4, "struct", name="D", byte_size=8, members=[m(0, "x", ptr(b(1))), m(4, "y", b(U64))]),
+        row(5, "struct", name="E", byte_size=16, members=[m(0, "x", b(1)), m(8, "y", ptr(b(2)))], targs=args),
+    )
+    sym = spark.createDataFrame([("s", ptr(b(1)))], f"link_name string, ty {T.TYPE}")
+    calls, together = [], optimize.together
+    monkeypatch.setattr(optimize, "together", lambda *a: calls.append(1) or together(*a))
+    out = optimize.optimize(optimize.Stage(optimize.from_units(df), sym), optimize.Rules())
+    got = {r.goff: r for r in out.types.collect()}
+    plain = lambda t: [tuple(x) for x in t]
+    assert len(calls) == 3 and set(got) == {4, 5}
+    assert [plain(x.ty) for x in got[5].members] == [b(4), ptr(b(4))] and [plain(x.ty) for x in got[4].members] == [ptr(b(4)), b(U64)]
+    assert {n.name for n in got[4].fqnames} == {"A", "B", "C", "D"} and [plain(a.tree) for n in got[5].fqnames for a in n.targs] == [b(4)]
+    assert plain(out.symbols.first().ty) == ptr(b(4))
+    import json
+
+    assert {(json.loads(r.derived)["name"], json.loads(r.base)["name"]) for r in out.derived.collect()} == {("A", "B"), ("A", "C"), ("B", "C"), ("A", "D"), ("B", "D"), ("C", "D")}
+    assert sum("members" in c and "enumerators" in c for c in written) == 1
